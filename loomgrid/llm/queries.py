@@ -5,25 +5,87 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash, suffix_dedup
-from .common import table
+from . import ann, decontaminate, html_extract, language_id, quality, sentencepiece_sampling, simhash, suffix_dedup, token_files, url_filter
+from .common import stable_fold, table
 
+#: Rules of op9: (verdict, host, path).
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op1_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    found = ann.nearest(rows, rows.where("vec_id % 100 = 0"))
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_files.token_counts(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "file", "doc_index", "start", "n_tokens")
 
-def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
-    return found.select(
-        found.id.alias("doc_id"), simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id"
-    )
+
+def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract_main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_report(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op5_sentencepiece_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentencepiece_sampling.encode_samples(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "draw", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "log_inclusion")
+
+
+def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op7_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn_from = "pmod(crc32(cast(doc_id as string)), 3) <> 1"
+    found = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn_from)
+    return found.select("doc_id", (stable_fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
+    return found.select(found.id.alias("doc_id"), simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
+
+
+def op9_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    mined = url_filter.mine_rules(pages, table(spark, sf_dir, "labels"), "page_id", "doc_id")
+    return url_filter.judge_urls(pages, mined, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = stable_fold("doc_id", 4)
+    model = language_id.train(docs.where(fold != 2))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hnsw_neighbours": op1_hnsw_neighbours,
+    "op2_token_counts": op2_token_counts,
+    "op3_html_main_text": op3_html_main_text,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op5_sentencepiece_samples": op5_sentencepiece_samples,
+    "op6_benchmark_leaks": op6_benchmark_leaks,
+    "op7_quality_scores": op7_quality_scores,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_url_verdicts": op9_url_verdicts,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
