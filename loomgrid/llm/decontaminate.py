@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 WORDS = 5
 COVERAGE = 0.8
 #: Share of the distinct slot values of a match that may have more than one counterpart.
-SLOT_SLACK = 0.2
+SLOT_SLACK = 0.1
 #: A window of fewer literal words than this names nothing in particular.
 LITERAL_WORDS = 2
 #: Benchmark windows up to this many (about 200 bytes each) are broadcast; more are joined by shuffle.

@@ -152,16 +152,15 @@ def _pages(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
 
 
 def _style_nodes(batches):
-    """(host, node, style, content, guarded): one row for each element path of each page."""
+    """(host, node, style, content): one row for each element path of each page."""
     for b in batches:
         rows = []
         for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             blocks, children = parse(page)
             below: dict[tuple[int, ...], list[str]] = {}
             for x in blocks:
-                if not (x.noise or x.main):
-                    for k in range(1, len(x.path) + 1):
-                        below.setdefault(x.path[:k], []).append(x.text)
+                for k in range(1, len(x.path) + 1):
+                    below.setdefault(x.path[:k], []).append(x.text)
             for path, texts in below.items():
                 style: list[str] = []
                 for tag in children.get(path, ()):
