@@ -23,18 +23,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def canonical(reads: DataFrame) -> DataFrame:
     """The two ends of each read in a fixed order: by chromosome, position, strand."""
-    a, b = F.struct("c1", "p1", "s1"), F.struct("c2", "p2", "s2")
-    first, second = F.least(a, b), F.greatest(a, b)
-    ends = reads.withColumns({"_a": first, "_b": second})
-    named = {"c1": "_a.c1", "p1": "_a.p1", "s1": "_a.s1"}
-    flip = a <= b
-    out = {k: F.col(v) for k, v in named.items()}
-    out |= {
-        "c2": F.when(flip, F.col("c2")).otherwise(F.col("c1")),
-        "p2": F.when(flip, F.col("p2")).otherwise(F.col("p1")),
-        "s2": F.when(flip, F.col("s2")).otherwise(F.col("s1")),
-    }
-    return ends.select([out.get(c, F.col(c)).alias(c) for c in reads.columns])
+    ends = [F.struct(F.col(f"c{k}").alias("c"), F.col(f"p{k}").cast("long").alias("p"), F.col(f"s{k}").cast("int").alias("s")) for k in (1, 2)]
+    in_order = ends[0] <= ends[1]
+    out = {}
+    for x in "cps":
+        out[f"{x}1"] = F.when(in_order, F.col(f"{x}1")).otherwise(F.col(f"{x}2"))
+        out[f"{x}2"] = F.when(in_order, F.col(f"{x}2")).otherwise(F.col(f"{x}1"))
+    return reads.select([out.get(c, F.col(c)).alias(c) for c in reads.columns])
 
 
 def dedupe(reads: DataFrame) -> DataFrame:

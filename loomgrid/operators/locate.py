@@ -16,7 +16,7 @@ def cut_sites_to_halves(sites: DataFrame) -> DataFrame:
     """n sites (chr, cut) of a chromosome to 2(n - 1) half-fragments (chr, start, stop, mid, half), split at midpoints."""
     pairs = sites.withColumn("next", F.lead("cut").over(Window.partitionBy("chr").orderBy("cut"))).where("next is not null")
     middle = F.floor((F.col("cut") + F.col("next")) / 2)
-    halves = F.array(F.struct(F.lit(0).alias("half"), F.col("cut").alias("start"), middle.alias("stop")), F.struct(F.lit(1), middle, F.col("next")))
+    halves = F.array(F.struct(F.lit(0).alias("half"), F.col("cut").alias("start"), middle.alias("stop")), F.struct(F.lit(1).alias("half"), middle.alias("start"), F.col("next").alias("stop")))
     out = pairs.select("chr", F.explode(halves).alias("h")).select("chr", "h.start", "h.stop", "h.half")
     return out.withColumn("mid", F.floor((F.col("start") + F.col("stop")) / 2))
 

@@ -15,10 +15,10 @@ def binned_cis(contacts: DataFrame) -> DataFrame:
 
 def binned_trans(contacts: DataFrame) -> DataFrame:
     """(chr1, bin1, chr2, bin2, obs) of contacts between chromosomes, the smaller name first."""
-    a, b = F.struct("chr1", "bin1"), F.struct("chr2", "bin2")
+    a, b = (F.struct(F.col(f"chr{k}").alias("chr"), F.col(f"bin{k}").alias("bin")) for k in (1, 2))
     low, high = F.least(a, b), F.greatest(a, b)
     trans = contacts.where("chr1 <> chr2").select(low.alias("a"), high.alias("b"), "n")
-    return trans.groupBy("a", "b").agg(F.sum("n").alias("obs")).select(F.col("a.chr1").alias("chr1"), F.col("a.bin1").alias("bin1"), F.col("b.chr1").alias("chr2"), F.col("b.bin1").alias("bin2"), "obs")
+    return trans.groupBy("a", "b").agg(F.sum("n").alias("obs")).select(F.col("a.chr").alias("chr1"), F.col("a.bin").alias("bin1"), F.col("b.chr").alias("chr2"), F.col("b.bin").alias("bin2"), "obs")
 
 
 def rebin(cells: DataFrame, factor: int, keys: tuple[str, ...] = ("chr",), values: tuple[str, ...] = ("obs",)) -> DataFrame:
@@ -137,7 +137,7 @@ def fetch_finest(levels: DataFrame, chrom: str, low: int, high: int) -> DataFram
 
     A cell stands if none of the four below it does.
     """
-    scale = F.shiftleft(F.lit(1), F.col("level")) if False else F.pow(F.lit(2), F.col("level")).cast("long")
+    scale = F.pow(F.lit(2), F.col("level")).cast("long")
     inside = levels.where((F.col("chr") == chrom) & ((F.col("bin1") + 1) * scale > low) & (F.col("bin1") * scale < high) & ((F.col("bin2") + 1) * scale > low) & (F.col("bin2") * scale < high))
     below = inside.select((F.col("level") + 1).alias("level"), F.floor(F.col("bin1") / 2).alias("bin1"), F.floor(F.col("bin2") / 2).alias("bin2")).distinct()
     return inside.join(below, ["level", "bin1", "bin2"], "left_anti").select("level", "bin1", "bin2", "obs")

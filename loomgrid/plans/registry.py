@@ -435,10 +435,10 @@ def profile_around(v: Views) -> DataFrame:
     return I.profile(v.track().select("chr", "pos"), v.track(), 1800, 600, tile=7200).select("offset", "n", r6("avg_val").alias("avg_val"))
 
 
-@query("track", """SELECT chr, pos // 21600 AS bin, count(*) AS n, round(min(val), 6) AS min_val, round(max(val), 6) AS max_val, round(sum(val), 4) AS sum_val, round(sum(val * val), 2) AS sum_sq, round(avg(val), 6) AS mean_val, round(stddev_samp(val), 6) AS std_dev FROM track GROUP BY 1, 2""")
+@query("track", """SELECT chr, pos // 21600 AS bin, count(*) AS n, round(min(val), 6) AS min_val, round(max(val), 6) AS max_val, round(sum(val), 4) AS sum_val, round(sum(val * val), 4) AS sum_sq, round(avg(val), 6) AS mean_val, round(stddev_samp(val), 6) AS std_dev FROM track GROUP BY 1, 2""")
 def track_summary(v: Views) -> DataFrame:
     got = I.track_summary(v.track(), 21600)
-    return got.select("chr", "bin", "n", r6("min_val").alias("min_val"), r6("max_val").alias("max_val"), F.round("sum_val", 4).alias("sum_val"), F.round("sum_sq", 2).alias("sum_sq"), r6("mean_val").alias("mean_val"), r6("std_dev").alias("std_dev"))
+    return got.select("chr", "bin", "n", r6("min_val").alias("min_val"), r6("max_val").alias("max_val"), F.round("sum_val", 4).alias("sum_val"), F.round("sum_sq", 4).alias("sum_sq"), r6("mean_val").alias("mean_val"), r6("std_dev").alias("std_dev"))
 
 
 @query("track", " UNION ALL ".join(f"SELECT {k} AS level, chr, pos // {3600 * 4**k} AS bin, count(*) AS n, round(min(val), 6) AS min_val, round(max(val), 6) AS max_val, round(sum(val), 4) AS sum_val FROM track GROUP BY 2, 3" for k in range(4)))
@@ -808,6 +808,6 @@ MOTIF = S.motif_weights([{"A": 8.0, "E": 2.0}, {"R": 6.0, "N": 4.0}], {k: 0.125
 _PWM = " + ".join("CASE substr(g, {k}, 1) ".format(k=k + 1) + " ".join(f"WHEN '{a}' THEN {w!r}" for a, w in c.items()) + " END" for k, c in enumerate(MOTIF))
 
 
-@query("", f"""SELECT p_partkey, CAST(i - 1 AS INTEGER) AS at, round(s, 6) AS score FROM (SELECT p_partkey, i, {_PWM} AS s FROM (SELECT p_partkey, i, substr(upper(p_type), i, 2) AS g FROM (SELECT p_partkey, p_type, unnest(generate_series(1, length(p_type) - 1)) AS i FROM part))) WHERE s IS NOT NULL""")
+@query("", f"""SELECT p_partkey, CAST(i - 1 AS INTEGER) AS at, round(CAST(s AS DOUBLE), 6) AS score FROM (SELECT p_partkey, i, {_PWM} AS s FROM (SELECT p_partkey, i, substr(upper(p_type), i, 2) AS g FROM (SELECT p_partkey, p_type, unnest(generate_series(1, length(p_type) - 1)) AS i FROM part))) WHERE s IS NOT NULL""")
 def pwm_score(v: Views) -> DataFrame:
     return S.motif_scores(v.table("part"), "p_partkey", "p_type", MOTIF).withColumn("score", r6("score"))

@@ -107,7 +107,7 @@ SQL = {
         CASE WHEN start <= max("end") OVER (PARTITION BY chr ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS f FROM iv_a)) GROUP BY chr, g""",
     "mb": """SELECT chr, min(start) AS start, max("end") AS "end" FROM (SELECT *, sum(f) OVER (PARTITION BY chr ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT chr, start, "end",
         CASE WHEN start <= max("end") OVER (PARTITION BY chr ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS f FROM iv_b)) GROUP BY chr, g""",
-    "cov": """SELECT a.chr, a.start, a."end", a.id, a.strand, CAST(coalesce(sum(least(a."end", mb."end") - greatest(a.start, mb.start)), 0) AS BIGINT) AS bases
+    "cov": """SELECT a.chr, a.start, a."end", a.id, a.strand, CAST(coalesce(sum(CASE WHEN mb.start IS NOT NULL THEN least(a."end", mb."end") - greatest(a.start, mb.start) END), 0) AS BIGINT) AS bases
         FROM iv_a a LEFT JOIN mb ON a.chr = mb.chr AND a.start < mb."end" AND mb.start < a."end" GROUP BY ALL""",
     "pairs": """SELECT a.chr, a.start, a."end", a.id, a.strand, b.chr AS chr2, b.start AS start2, b."end" AS end2, b.id AS id2, least(a."end", b."end") - greatest(a.start, b.start) AS overlap
         FROM iv_a a JOIN iv_b b ON a.chr = b.chr AND a.start < b."end" AND b.start < a."end" """,
