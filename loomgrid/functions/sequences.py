@@ -77,8 +77,9 @@ def column_statistics(blocks: DataFrame) -> DataFrame:
 def filter_blocks(blocks: DataFrame, min_rows: int = 0, min_columns: int = 0, species: list[str] | None = None) -> DataFrame:
     """Alignment blocks (components: array of struct<src, start, size, strand, src_size, text>) that are large enough and name all species."""
     keep = (F.size("components") >= min_rows) & (F.length(F.coalesce(F.col("components")[0]["text"], F.lit(""))) >= min_columns)
-    for s in species or ():
-        keep = keep & F.exists("components", lambda c, s=s: F.substring_index(c["src"], ".", 1) == s)
+    if species:
+        named = F.transform("components", lambda c: F.substring_index(c["src"], ".", 1))
+        keep = keep & (F.size(F.array_except(F.array(*map(F.lit, species)), named)) == 0)
     return blocks.where(keep)
 
 

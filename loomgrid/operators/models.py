@@ -172,7 +172,9 @@ def knight_ruiz(matrix: DataFrame, tolerance: float = 1e-6, most_outer: int = 30
         v = vector.select(F.col("id").alias("other"), F.col(column).alias("_v"))
         return ends.join(v, "other").groupBy("id").agg(F.sum(F.col("value") * F.col("_v")).alias("_av"))
 
-    state = ends.groupBy("id").agg(F.lit(1.0).alias("x"))
+    # Rows near sum one from the start: the residuals are then of one scale with their preconditioned form.
+    sums = ends.groupBy("id").agg(F.sum("value").alias("s"))
+    state = sums.join(F.broadcast(sums.agg(F.avg("s").alias("mean")))).select("id", (1 / F.sqrt("mean")).alias("x"))
     state = checkpointed(state.join(times(state, "x"), "id").select("id", "x", (F.col("x") * F.col("_av")).alias("v")))
     for _ in range(most_outer):
         rho = state.agg(F.sum((1 - F.col("v")) ** 2)).first()[0]
@@ -184,7 +186,7 @@ def knight_ruiz(matrix: DataFrame, tolerance: float = 1e-6, most_outer: int = 30
         for k in range(most_inner):
             z = F.col("r") / F.col("v")
             now = inner.agg(F.sum(F.col("r") * z)).first()[0]
-            if now <= stop:
+            if k and now <= stop:
                 break
             beta = 0.0 if k == 0 else now / old
             old = now

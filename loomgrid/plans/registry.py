@@ -15,6 +15,9 @@ from ..operators import intervals as I
 from ..operators import locate as L
 from ..operators import matrix as M
 from ..operators import models as Mo
+from ..operators import random as Ra
+from ..operators import reads as Re
+from ..operators import signal as Si
 from .views import BIN, FINE, Views, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -490,10 +493,10 @@ def weighted_range_sum(v: Views) -> DataFrame:
     return Mo.weighted_range_sum(v.elements(), "gc", 100000).select("id", F.round("weight_sum", 4).alias("weight_sum"))
 
 
-@query("be", """SELECT a.chr, a.bin AS bin1, b.bin AS bin2, round(a.s * b.s / 1e6, 4) AS expected FROM (SELECT chr, bin, sum(gc) AS s FROM be GROUP BY 1, 2) a JOIN (SELECT chr, bin, sum(gc) AS s FROM be GROUP BY 1, 2) b ON a.chr = b.chr AND a.bin < b.bin""")
+@query("be", """SELECT a.chr, a.bin AS bin1, b.bin AS bin2, round(a.s * b.s / 997003.7, 4) AS expected FROM (SELECT chr, bin, sum(gc) AS s FROM be GROUP BY 1, 2) a JOIN (SELECT chr, bin, sum(gc) AS s FROM be GROUP BY 1, 2) b ON a.chr = b.chr AND a.bin < b.bin""")
 def expected_closed_form(v: Views) -> DataFrame:
     got = Mo.expected_closed_form(Mo.bin_sums(v.binned_elements(), "gc"))
-    return got.withColumn("expected", F.round(F.col("expected") / 1e6, 4))
+    return got.withColumn("expected", F.round(F.col("expected") / 997003.7, 4))
 
 
 @query("be", "SELECT a.chr, a.bin AS bin1, b.bin AS bin2, count(*) AS expected FROM be a JOIN be b ON a.chr = b.chr AND a.bin < b.bin AND b.bin - a.bin <= 3 GROUP BY 1, 2, 3")
@@ -811,3 +814,105 @@ _PWM = " + ".join("CASE substr(g, {k}, 1) ".format(k=k + 1) + " ".join(f"WHEN '{
 @query("", f"""SELECT p_partkey, CAST(i - 1 AS INTEGER) AS at, round(CAST(s AS DOUBLE), 6) AS score FROM (SELECT p_partkey, i, {_PWM} AS s FROM (SELECT p_partkey, i, substr(upper(p_type), i, 2) AS g FROM (SELECT p_partkey, p_type, unnest(generate_series(1, length(p_type) - 1)) AS i FROM part))) WHERE s IS NOT NULL""")
 def pwm_score(v: Views) -> DataFrame:
     return S.motif_scores(v.table("part"), "p_partkey", "p_type", MOTIF).withColumn("score", r6("score"))
+
+
+# Reads on fragments, signals, samples -----------------------------------------------------------
+
+
+def _site_reads(v: Views) -> DataFrame:
+    """Pairs of line items of an order as reads near their parts' places."""
+    e = v.elements().select(F.col("id").alias("l_partkey"), "chr", "mid")
+    items = v.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(e, "l_partkey")
+    end = lambda k: items.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias(f"l{k}"), F.col("chr").alias(f"c{k}"), (F.col("mid") + F.col("l_suppkey") % 900 - 450).alias(f"p{k}"), (F.col("l_suppkey") % 2).cast("int").alias(f"s{k}"))
+    return end(1).join(end(2), "o").where("l1 < l2").drop("o", "l1", "l2")
+
+
+def _sites(v: Views) -> DataFrame:
+    return v.elements().select("chr", F.col("mid").alias("cut"))
+
+
+_SITE_READS = """reads2 AS (SELECT a.chr AS c1, a.mid + a.l_suppkey % 900 - 450 AS p1, a.l_suppkey % 2 AS s1, b.chr AS c2, b.mid + b.l_suppkey % 900 - 450 AS p2, b.l_suppkey % 2 AS s2
+    FROM (SELECT * FROM lineitem JOIN elements ON l_partkey = id) a JOIN (SELECT * FROM lineitem JOIN elements ON l_partkey = id) b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber),
+  frags AS (SELECT f.*, first FROM (SELECT chr, mid AS lo, lead(mid) OVER (PARTITION BY chr ORDER BY mid) AS hi, row_number() OVER (PARTITION BY chr ORDER BY mid) - 1 AS frag FROM elements) f
+    JOIN (SELECT chr, coalesce(2 * sum(count(*) - 1) OVER (ORDER BY chr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM elements GROUP BY chr) USING (chr) WHERE hi IS NOT NULL),
+  placed AS (SELECT r.*, CAST(x.first + 2 * x.frag + CASE WHEN s1 = 1 THEN 1 ELSE 0 END AS BIGINT) AS half1, CASE WHEN s1 = 1 THEN x.hi - p1 ELSE p1 - x.lo END AS dist1, CAST(y.first + 2 * y.frag + CASE WHEN s2 = 1 THEN 1 ELSE 0 END AS BIGINT) AS half2,
+    CASE WHEN s2 = 1 THEN y.hi - p2 ELSE p2 - y.lo END AS dist2 FROM {reads} r JOIN frags x ON c1 = x.chr AND p1 > x.lo AND p1 <= x.hi JOIN frags y ON c2 = y.chr AND p2 > y.lo AND p2 <= y.hi)"""
+_DEDUPED = """(SELECT DISTINCT CASE WHEN f THEN c1 ELSE c2 END AS c1, CASE WHEN f THEN p1 ELSE p2 END AS p1, CASE WHEN f THEN s1 ELSE s2 END AS s1, CASE WHEN f THEN c2 ELSE c1 END AS c2, CASE WHEN f THEN p2 ELSE p1 END AS p2,
+    CASE WHEN f THEN s2 ELSE s1 END AS s2 FROM (SELECT *, c1 < c2 OR (c1 = c2 AND (p1 < p2 OR (p1 = p2 AND s1 <= s2))) AS f FROM reads2))"""
+
+
+@query()
+def reads_to_contacts(v: Views) -> DataFrame:
+    return Re.reads_to_contacts(_site_reads(v), _sites(v), 30000)
+
+
+ORACLE_SQL["reads_to_contacts"] = sql("elements", "") + ", " + _SITE_READS.format(reads=_DEDUPED) + """ SELECT id1, id2, count(*) AS n FROM (SELECT least(half1, half2) AS id1, greatest(half1, half2) AS id2 FROM placed WHERE dist1 + dist2 <= 30000)
+    WHERE NOT (id1 = id2 OR (id1 % 2 = 0 AND id2 IN (id1 + 1, id1 + 3)) OR (id1 % 2 = 1 AND id2 = id1 + 1)) GROUP BY 1, 2"""
+
+
+@query()
+def same_fragment_metrics(v: Views) -> DataFrame:
+    return Re.same_fragment_metrics(Re.locate_ends(_site_reads(v), _sites(v)))
+
+
+ORACLE_SQL["same_fragment_metrics"] = sql("elements", "") + ", " + _SITE_READS.format(reads="reads2") + """ SELECT CASE WHEN half1 // 2 = half2 // 2 AND s1 = s2 THEN 'same_strand' WHEN half1 // 2 = half2 // 2 AND ((p1 < p2 AND s1 = 0) OR (p1 > p2 AND s1 = 1)) THEN 'self_circle'
+    WHEN half1 // 2 = half2 // 2 THEN 'dangling_end' WHEN c1 = c2 AND abs(half1 // 2 - half2 // 2) = 1 THEN 'neighbour' ELSE 'mapped' END AS kind, count(*) AS n FROM placed GROUP BY 1"""
+
+
+@query()
+def near_site_filter(v: Views) -> DataFrame:
+    return Re.near_site_filter(Re.locate_ends(_site_reads(v), _sites(v)), 400).groupBy("c1", "c2").agg(F.count("*").alias("n"))
+
+
+ORACLE_SQL["near_site_filter"] = sql("elements", "") + ", " + _SITE_READS.format(reads="reads2") + " SELECT c1, c2, count(*) AS n FROM placed WHERE dist1 >= 400 AND dist2 >= 400 GROUP BY 1, 2"
+
+
+def _weighted_elements(v: Views) -> DataFrame:
+    return v.binned_elements().withColumn("c", F.col("gc") / 997.13)
+
+
+_EXPECTED = """SELECT a.chr, a.bin AS bin1, b.bin AS bin2, a.s * b.s AS e FROM (SELECT chr, bin, sum({w}) AS s FROM be GROUP BY 1, 2) a JOIN (SELECT chr, bin, sum({w}) AS s FROM be GROUP BY 1, 2) b ON a.chr = b.chr AND a.bin < b.bin"""
+
+
+def _signal_sql(weight: str, scaled: bool) -> str:
+    e = "e * sum(o) OVER (PARTITION BY bin2 - bin1) / sum(e) OVER (PARTITION BY bin2 - bin1)" if scaled else "e"
+    return f"""SELECT chr, bin1, bin2, o AS observed, round({e}, 6) AS expected FROM (SELECT x.*, coalesce(CAST(obs AS DOUBLE), 0) AS o FROM ({_EXPECTED.format(w=weight)}) x LEFT JOIN cis USING (chr, bin1, bin2))"""
+
+
+@query("cis be", _signal_sql("CAST(1 AS DOUBLE)", False))
+def signal_raw(v: Views) -> DataFrame:
+    return Si.cis_signal(v.located(), _weighted_elements(v), "raw").withColumn("expected", r6("expected"))
+
+
+@query("cis be", _signal_sql("gc / 997.13", False))
+def signal_fend(v: Views) -> DataFrame:
+    return Si.cis_signal(v.located(), _weighted_elements(v), "fend").withColumn("expected", r6("expected"))
+
+
+@query("cis be", _signal_sql("CAST(1 AS DOUBLE)", True))
+def signal_distance(v: Views) -> DataFrame:
+    return Si.cis_signal(v.located(), _weighted_elements(v), "distance").withColumn("expected", r6("expected"))
+
+
+@query("cis be", _signal_sql("gc / 997.13", True))
+def signal_enrichment(v: Views) -> DataFrame:
+    return Si.cis_signal(v.located(), _weighted_elements(v), "enrichment").withColumn("expected", r6("expected"))
+
+
+@query("trans be", """SELECT t.chr1, t.bin1, t.chr2, t.bin2, CAST(obs AS DOUBLE) AS observed, round(m * a.s * b.s, 6) AS expected FROM trans t JOIN (SELECT chr, bin, sum(gc / 997.13) AS s FROM be GROUP BY 1, 2) a ON t.chr1 = a.chr AND t.bin1 = a.bin
+    JOIN (SELECT chr, bin, sum(gc / 997.13) AS s FROM be GROUP BY 1, 2) b ON t.chr2 = b.chr AND t.bin2 = b.bin JOIN (SELECT chr1, chr2, o / (x.t * y.t) AS m FROM (SELECT chr1, chr2, sum(obs) AS o FROM trans GROUP BY 1, 2)
+    JOIN (SELECT chr, sum(gc / 997.13) AS t FROM be GROUP BY 1) x ON chr1 = x.chr JOIN (SELECT chr, sum(gc / 997.13) AS t FROM be GROUP BY 1) y ON chr2 = y.chr) q ON t.chr1 = q.chr1 AND t.chr2 = q.chr2""")
+def signal_trans(v: Views) -> DataFrame:
+    return Si.trans_signal(v.located(), _weighted_elements(v)).withColumn("expected", r6("expected"))
+
+
+@query()
+def random_placement(v: Views) -> DataFrame:
+    """Orders' intervals thrown into the free positions between line items' intervals, twice."""
+    sizes = v.iv_a().select("id", (F.col("end") - F.col("start")).alias("size"))
+    return Ra.place(v.lengths(), v.iv_b(), sizes, 2, 11)
+
+
+@query()
+def overlap_permutation(v: Views) -> DataFrame:
+    return Ra.overlap_z_score(v.iv_a(), v.iv_b(), v.lengths(), v.iv_b().where("false"), 5, 7)
