@@ -276,6 +276,41 @@ def seeds(counts: DataFrame, dimensions: list[str]) -> DataFrame:
     )
 
 
+def fit_feature_bins(counts: DataFrame, dimensions: list[str], passes: int) -> DataFrame:
+    """(dimension, value, correction): multiplicative corrections of feature bins.
+
+    ``counts`` (dimensions, observed, possible) is one row for each combination of bins. The
+    expectation is the overall rate times the possible count times the corrections; each pass sets one
+    dimension after the other to observed over expected, the maximum of the Poisson likelihood with
+    the others held.
+    """
+    counts = checkpointed(counts)
+    rate = counts.agg((F.sum("observed") / F.sum("possible")).alias("_rate"))
+    base = counts.join(F.broadcast(rate)).withColumn("_e", F.col("possible") * F.col("_rate"))
+    state = {d: base.select(d).distinct().withColumn(f"_c_{d}", F.lit(1.0)) for d in dimensions}
+    for _ in range(passes):
+        for d in dimensions:
+            met, factor = base, F.lit(1.0)
+            for k, s in state.items():
+                met = met.join(s, k)
+                factor = factor * F.col(f"_c_{k}")
+            sums = met.groupBy(d).agg(F.sum("observed").alias("_o"), F.sum(F.col("_e") * factor).alias("_x"), F.first(f"_c_{d}").alias("_c"))
+            state[d] = sums.select(d, F.when(F.col("_x") > 0, F.col("_c") * F.col("_o") / F.col("_x")).otherwise(F.col("_c")).alias(f"_c_{d}"))
+    out = None
+    for d, s in state.items():
+        part = s.select(F.lit(d).alias("dimension"), F.col(d).cast("long").alias("value"), F.col(f"_c_{d}").alias("correction"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def apply_feature_bins(pairs: DataFrame, corrections: DataFrame, dimensions: list[str], column: str = "expected") -> DataFrame:
+    """``pairs`` with ``column`` multiplied by the correction of each dimension's bin (one without counts as 1)."""
+    for d in dimensions:
+        c = corrections.where(F.col("dimension") == d).select(F.col("value").alias(d), F.col("correction").alias("_c"))
+        pairs = pairs.join(F.broadcast(c), d, "left").withColumn(column, F.col(column) * F.coalesce("_c", F.lit(1.0))).drop("_c")
+    return pairs
+
+
 def recentred(values: DataFrame, group: str, column: str) -> DataFrame:
     """``values`` with ``column`` divided by its mean within ``group``."""
     means = values.groupBy(group).agg(F.avg(column).alias("_mean"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import alignments as Al
 from ..functions import expressions as X
 from ..functions import sequences as S
 from ..operators import adaptive as A
@@ -18,6 +19,7 @@ from ..operators import models as Mo
 from ..operators import random as Ra
 from ..operators import reads as Re
 from ..operators import signal as Si
+from ..operators import tables as T
 from .views import BIN, FINE, Views, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -916,3 +918,67 @@ def random_placement(v: Views) -> DataFrame:
 @query()
 def overlap_permutation(v: Views) -> DataFrame:
     return Ra.overlap_z_score(v.iv_a(), v.iv_b(), v.lengths(), v.iv_b().where("false"), 5, 7)
+
+
+# Feature-bin models, tables --------------------------------------------------------------------
+
+
+def _feature_counts(v: Views) -> DataFrame:
+    return v.located().groupBy("bin1", "bin2").agg(F.sum("n").alias("observed"), F.count("*").alias("possible"))
+
+
+@query()
+def binning_fit(v: Views) -> DataFrame:
+    return Mo.fit_feature_bins(_feature_counts(v), ["bin1", "bin2"], 2).withColumn("correction", r6("correction"))
+
+
+def _fit_sql(passes: int) -> str:
+    counts = "counts AS MATERIALIZED (SELECT bin1, bin2, sum(n) AS observed, count(*) AS possible FROM lc GROUP BY 1, 2)"
+    base = "base AS MATERIALIZED (SELECT *, possible * (SELECT sum(observed) / sum(possible) FROM counts) AS e FROM counts)"
+    parts = [counts, base] + [f"{d}_0 AS (SELECT DISTINCT {d}, CAST(1 AS DOUBLE) AS c FROM base)" for d in ("bin1", "bin2")]
+    at = {"bin1": "bin1_0", "bin2": "bin2_0"}
+    for k in range(passes):
+        for d in ("bin1", "bin2"):
+            parts.append(f"{d}_{k + 1} AS MATERIALIZED (SELECT base.{d}, x.c * sum(observed) / sum(e * x.c * y.c) AS c FROM base JOIN {at[d]} x ON base.{d} = x.{d} JOIN {at['bin2' if d == 'bin1' else 'bin1']} y ON base.{'bin2' if d == 'bin1' else 'bin1'} = y.{'bin2' if d == 'bin1' else 'bin1'} GROUP BY base.{d}, x.c)")
+            at[d] = f"{d}_{k + 1}"
+    last = " UNION ALL ".join(f"SELECT '{d}' AS dimension, {d} AS value, round(c, 6) AS correction FROM {at[d]}" for d in at)
+    return sql("lc", "") + ", " + ", ".join(parts) + " " + last
+
+
+ORACLE_SQL["binning_fit"] = _fit_sql(2)
+
+
+@query("contacts", """SELECT c.id1, c.id2, c.n, coalesce(k, 0) AS k FROM contacts c LEFT JOIN (SELECT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b, count(*) AS k FROM lineitem GROUP BY 1, 2) ON a = least(id1, id2) AND b = greatest(id1, id2)""")
+def symmetric_left_join(v: Views) -> DataFrame:
+    counts = v.table("lineitem").groupBy(F.least("l_partkey", "l_suppkey").alias("id1"), F.greatest("l_partkey", "l_suppkey").alias("id2")).agg(F.count("*").alias("k"))
+    return T.symmetric_join_default(v.contacts(), counts, "id1", "id2", "k", 0)
+
+
+@query("elements ends", "SELECT e.id, coalesce(t, 0) AS total FROM elements e LEFT JOIN (SELECT id, CAST(sum(value) AS BIGINT) AS t FROM ends GROUP BY id) d ON e.id = d.id")
+def restore_zero_bins(v: Views) -> DataFrame:
+    return T.fill_missing(C.degree(v.contacts()), v.elements(), ["id"], "total", 0)
+
+
+@query("elements", "SELECT id, chr, CAST(coalesce(sum(len) OVER (PARTITION BY chr ORDER BY mid, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS upto FROM elements")
+def prefix_offsets(v: Views) -> DataFrame:
+    return T.running_sum(v.elements(), "chr", ["mid", "id"], "len").select("id", "chr", "upto")
+
+
+@query("elements", "SELECT id, chr FROM (SELECT *, coalesce(sum(len) OVER (PARTITION BY chr ORDER BY mid, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM elements) WHERE upto < 500")
+def truncate_after_total(v: Views) -> DataFrame:
+    return T.truncate_after(v.elements(), "chr", ["mid", "id"], "len", 500).select("id", "chr")
+
+
+@query("elements", "SELECT id, chr, CAST(dense_rank() OVER (PARTITION BY chr ORDER BY len) - 1 AS INTEGER) AS dense FROM elements")
+def dense_rank_ids(v: Views) -> DataFrame:
+    return T.dense_ids(v.elements(), ["chr", "len"]).select("id", "chr", "dense")
+
+
+@query("", """SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM (SELECT rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS a, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS b FROM lineitem)""")
+def spearman_correlation(v: Views) -> DataFrame:
+    return T.spearman(v.table("lineitem"), "l_extendedprice", "l_quantity").withColumn("rho", r6("rho"))
+
+
+@query("", "SELECT p_partkey, CAST(i - 1 AS INTEGER) AS at FROM (SELECT p_partkey, upper(p_name) AS t, unnest(generate_series(1, length(p_name) - 1)) AS i FROM part) WHERE regexp_matches(substr(t, i, 2), '^[AG][ACGT]$')")
+def consensus_places(v: Views) -> DataFrame:
+    return Al.consensus_places(v.table("part"), "p_partkey", "p_name", "RN")

@@ -225,3 +225,25 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "mrh")).where("level = 1 and chr = 'c'").count() == 1
     sinks.fasta(spark.createDataFrame([("s", "ACGTACGT")], "name string, sequence string"), str(tmp_path / "fa"), 3)
     assert [tuple(r) for r in text.fasta(spark, str(tmp_path / "fa")).collect()] == [("s", "ACGTACGT")]
+
+
+def test_alignments(spark):
+    from loomgrid.functions import alignments as A
+
+    component = "struct<src:string,start:bigint,size:bigint,strand:string,src_size:bigint,text:string>"
+    rows = [(1, 2.0, [("a.c", 0, 3, "+", 20, "AC-G"), ("b.c", 5, 3, "+", 30, "A-CG")]), (2, 3.0, [("a.c", 3, 2, "+", 20, "TT"), ("b.c", 8, 2, "+", 30, "TA")]), (3, 1.0, [("a.c", 9, 1, "+", 20, "A"), ("b.c", 20, 1, "+", 30, "A")])]
+    df = spark.createDataFrame(rows, f"id long, score double, components array<{component}>")
+    fused = {r.id: r for r in A.fuse_blocks(df).collect()}
+    assert set(fused) == {1, 3} and fused[1].score == 5.0
+    assert [(c.start, c.size, c.text) for c in fused[1].components] == [(0, 5, "AC-GTT"), (5, 5, "A-CGTA")]
+    one = A.restrict_species(df.where("id = 1"), ["a"]).first().components
+    assert [c.text for c in one] == ["ACG"]
+    back = A.reverse_blocks(df.where("id = 2")).first().components
+    assert [(c.start, c.strand, c.text) for c in back] == [(15, "-", "AA"), (20, "-", "TA")]
+    cut = A.slice_columns(df.where("id = 1"), 1, 4).first().components
+    assert [(c.start, c.size, c.text) for c in cut] == [(1, 2, "C-G"), (6, 2, "-CG")]
+    t = spark.createDataFrame([("AC-GG", "A-CGT")], "a string, b string").select(A.column_of(F.col("a"), F.lit(2)).alias("c"), A.offset_of(F.col("a"), F.lit(3)).alias("o"), A.pair_score(F.col("a"), F.col("b")).alias("s")).first()
+    assert (t.c, t.o) == (3, 2) and t.s == 1 - 4.5 - 4.5 + 1 - 1
+    seqs = spark.createDataFrame([("c", "AACCGGTT")], "name string, sequence string")
+    iv2 = spark.createDataFrame([("c", 1, 4, 1, "+"), ("c", 1, 4, 2, "-")], "chr string, start long, end long, id long, strand string")
+    assert {r.id: r.sequence for r in A.extract(seqs, iv2).collect()} == {1: "ACC", 2: "GGT"}
