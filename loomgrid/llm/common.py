@@ -24,15 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
     Only where the setting is missing a folder is chosen here: a temporary one when driver and
     executors are one process, the warehouse on a cluster.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        found = "file://" + tempfile.mkdtemp(prefix="loomgrid-")
-    else:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_loomgrid_stages"
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    found = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_loomgrid_shared", None)
+    if not found:
+        if spark.sparkContext.master.split("[")[0] == "local":
+            found = "file://" + tempfile.mkdtemp(prefix="loomgrid-")
+        else:
+            found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_loomgrid_stages"
+        spark.sparkContext._loomgrid_shared = found
+    return found.rstrip("/")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
