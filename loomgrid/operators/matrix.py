@@ -161,3 +161,50 @@ def principal_component(contacts: DataFrame, steps: int = 30) -> DataFrame:
         norm = product.agg(F.sqrt(F.sum(F.col("y") ** 2)).alias("_n"))
         state = checkpointed(product.join(F.broadcast(norm)).select("id", (F.col("y") / F.col("_n")).alias("x")))
     return state
+
+
+def overlap_heatmap(contacts: DataFrame, shares: DataFrame, most_bins: int = 50) -> DataFrame:
+    """(chr, bin1, bin2, obs): cis contacts spread over the bins that both elements overlap, in proportion.
+
+    ``shares`` is (id, chr, bin, share); an element over more than ``most_bins`` bins takes no part.
+    """
+    wide = shares.groupBy("id").agg(F.count("*").alias("_k")).where(F.col("_k") <= most_bins).select("id")
+    s = shares.join(wide, "id", "left_semi")
+    side = lambda k: s.select(F.col("id").alias(f"id{k}"), F.col("chr").alias(f"c{k}"), F.col("bin").alias(f"b{k}"), F.col("share").alias(f"s{k}"))
+    met = contacts.join(side(1), "id1").join(side(2), "id2").where("c1 = c2")
+    return met.groupBy(F.col("c1").alias("chr"), F.least("b1", "b2").alias("bin1"), F.greatest("b1", "b2").alias("bin2")).agg(F.sum(F.col("n") * F.col("s1") * F.col("s2")).alias("obs"))
+
+
+def coordinate_counts(contacts: DataFrame) -> DataFrame:
+    """(chr1, bin1, chr2, bin2, total, pairs): counts and different pairs of elements by unordered coordinate bins."""
+    a, b = (F.struct(F.col(f"chr{k}").alias("chr"), F.col(f"bin{k}").alias("bin")) for k in (1, 2))
+    rows = contacts.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "n")
+    sums = rows.groupBy("a", "b").agg(F.sum("n").alias("total"), F.count("*").alias("pairs"))
+    return sums.select(F.col("a.chr").alias("chr1"), F.col("a.bin").alias("bin1"), F.col("b.chr").alias("chr2"), F.col("b.bin").alias("bin2"), "total", "pairs")
+
+
+def expected_integral(elements: DataFrame, factors: DataFrame, prior: float, reach: int) -> DataFrame:
+    """(chr, bin1, bin2, expected): prior times the sum of f(fbin1, fbin2) over all pairs of elements of two bins.
+
+    ``elements`` have chr, bin and fbin, ``factors`` fbin1, fbin2, f in both orders. Bins meet as
+    histograms of their feature bins, up to ``reach`` bins apart, never as elements.
+    """
+    h = elements.groupBy("chr", "bin", "fbin").agg(F.count("*").alias("k"))
+    a = h.select("chr", F.col("bin").alias("bin1"), F.col("fbin").alias("fbin1"), F.col("k").alias("k1"))
+    b = h.select("chr", F.col("bin").alias("bin2"), F.col("fbin").alias("fbin2"), F.col("k").alias("k2"))
+    met = a.withColumn("bin2", F.explode(F.sequence(F.col("bin1") + 1, F.col("bin1") + reach))).join(b, ["chr", "bin2"])
+    return met.join(F.broadcast(factors), ["fbin1", "fbin2"]).groupBy("chr", "bin1", "bin2").agg((F.sum(F.col("k1") * F.col("k2") * F.col("f")) * prior).alias("expected"))
+
+
+def corrected(contacts: DataFrame, bias: DataFrame, undo: bool = False) -> DataFrame:
+    """Contacts with ``value``, n divided by both elements' biases (id, bias); ``undo`` multiplies them back."""
+    met = contacts.join(bias.select(F.col("id").alias("id1"), F.col("bias").alias("_b1")), "id1").join(bias.select(F.col("id").alias("id2"), F.col("bias").alias("_b2")), "id2")
+    factor = F.col("_b1") * F.col("_b2")
+    return met.withColumn("value", F.col("n") * factor if undo else F.col("n") / factor).drop("_b1", "_b2")
+
+
+def fragment_weights(contacts: DataFrame, weights: DataFrame) -> DataFrame:
+    """(id, total): sums of 1 / (w1 * w2) over each element's contacts, counted n times."""
+    v = corrected(contacts, weights.select("id", F.col("w").alias("bias")))
+    ends = v.select(F.col("id1").alias("id"), "value").unionByName(v.select(F.col("id2").alias("id"), "value"))
+    return ends.groupBy("id").agg(F.sum("value").alias("total"))

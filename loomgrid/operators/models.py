@@ -146,6 +146,21 @@ def express(contacts: DataFrame, passes: int | None = None, least_change: float
     return state
 
 
+def express_log(contacts: DataFrame, expected: DataFrame, passes: int) -> DataFrame:
+    """(id, c): additive corrections in logarithms; each pass adds half the mean residual ln n - expected - c1 - c2.
+
+    ``expected`` is (id1, id2, e), the logarithm expected from distance.
+    """
+    residuals = contacts.join(expected, ["id1", "id2"]).withColumn("r", F.log("n") - F.col("e"))
+    ends = both_ends(residuals, "r")
+    state = ends.select("id").distinct().withColumn("c", F.lit(0.0))
+    for _ in range(passes):
+        met = ends.join(state, "id").join(state.select(F.col("id").alias("other"), F.col("c").alias("c_other")), "other")
+        mean = F.sum(F.col("value") - F.col("c") - F.col("c_other")) / F.count("*")
+        state = met.groupBy("id").agg(mean.alias("m"), F.first("c").alias("c")).select("id", (F.col("c") + 0.5 * F.col("m")).alias("c"))
+    return state
+
+
 def ice(matrix: DataFrame, passes: int) -> DataFrame:
     """(id, bias) by iterative correction of a symmetric matrix (id1, id2, n): rows divided by their sums, repeatedly."""
     ends = both_ends(matrix)

@@ -982,3 +982,67 @@ def spearman_correlation(v: Views) -> DataFrame:
 @query("", "SELECT p_partkey, CAST(i - 1 AS INTEGER) AS at FROM (SELECT p_partkey, upper(p_name) AS t, unnest(generate_series(1, length(p_name) - 1)) AS i FROM part) WHERE regexp_matches(substr(t, i, 2), '^[AG][ACGT]$')")
 def consensus_places(v: Views) -> DataFrame:
     return Al.consensus_places(v.table("part"), "p_partkey", "p_name", "RN")
+
+
+# More of matrices and models --------------------------------------------------------------------
+
+
+@query("elements contacts", """SELECT x.chr, least(x.bin, y.bin) AS bin1, greatest(x.bin, y.bin) AS bin2, round(sum(n * x.share * y.share), 6) AS obs FROM contacts
+    JOIN (SELECT id, chr, bin, (least(stop, (bin + 1) * 5000) - greatest(start, bin * 5000)) / 5000.0::DOUBLE AS share FROM (SELECT *, unnest(generate_series(CAST(floor(start / 5000) AS BIGINT), (stop - 1) // 5000)) AS bin FROM elements WHERE start >= 0)) x ON id1 = x.id
+    JOIN (SELECT id, chr, bin, (least(stop, (bin + 1) * 5000) - greatest(start, bin * 5000)) / 5000.0::DOUBLE AS share FROM (SELECT *, unnest(generate_series(CAST(floor(start / 5000) AS BIGINT), (stop - 1) // 5000)) AS bin FROM elements WHERE start >= 0)) y ON id2 = y.id
+    WHERE x.chr = y.chr GROUP BY 1, 2, 3""")
+def overlap_heatmap(v: Views) -> DataFrame:
+    shares = L.proportional_bins(v.elements().where("start >= 0"), 5000)
+    return M.overlap_heatmap(v.contacts(), shares).withColumn("obs", r6("obs"))
+
+
+@query("lc", """SELECT CASE WHEN f THEN chr1 ELSE chr2 END AS chr1, CASE WHEN f THEN bin1 ELSE bin2 END AS bin1, CASE WHEN f THEN chr2 ELSE chr1 END AS chr2, CASE WHEN f THEN bin2 ELSE bin1 END AS bin2, CAST(sum(n) AS BIGINT) AS total, count(*) AS pairs
+    FROM (SELECT *, chr1 < chr2 OR (chr1 = chr2 AND bin1 <= bin2) AS f FROM lc) GROUP BY 1, 2, 3, 4""")
+def coordinate_bin_counts(v: Views) -> DataFrame:
+    return M.coordinate_counts(v.located())
+
+
+_LEN10 = "CAST(least(floor((len - lo) / ((hi - lo) / 4.0)), 3) AS BIGINT)"
+
+
+@query("be", f"""SELECT a.chr, a.bin AS bin1, b.bin AS bin2, round(0.01 * sum(1 + 0.5 * a.f * b.f), 6)::DOUBLE AS expected FROM (SELECT *, {_LEN10} AS f FROM be, (SELECT min(len) AS lo, max(len) AS hi FROM be)) a JOIN (SELECT *, {_LEN10} AS f FROM be, (SELECT min(len) AS lo, max(len) AS hi FROM be)) b
+    ON a.chr = b.chr AND b.bin - a.bin BETWEEN 1 AND 4 GROUP BY 1, 2, 3""")
+def expected_integral(v: Views) -> DataFrame:
+    e = L.equal_width_bins(v.binned_elements(), "len", 4)
+    k = v.spark.range(4)
+    factors = k.select(F.col("id").alias("fbin1")).crossJoin(F.broadcast(k.select(F.col("id").alias("fbin2")))).withColumn("f", 1 + 0.5 * F.col("fbin1") * F.col("fbin2"))
+    return M.expected_integral(e, factors, 0.01, 4).withColumn("expected", r6("expected"))
+
+
+@query("contacts elements", "SELECT id1, id2, n, round(n / ((x.gc / 997.13) * (y.gc / 997.13)), 6) AS value FROM contacts JOIN elements x ON id1 = x.id JOIN elements y ON id2 = y.id")
+def corrected_contacts(v: Views) -> DataFrame:
+    return M.corrected(v.contacts(), v.elements().select("id", (F.col("gc") / 997.13).alias("bias"))).withColumn("value", r6("value"))
+
+
+@query("ends elements", "SELECT e.id, round(sum(value / (x.gc * y.gc)) * 1e6, 4) AS total FROM ends e JOIN elements x ON e.id = x.id JOIN elements y ON e.other = y.id GROUP BY e.id")
+def fragment_weight_sums(v: Views) -> DataFrame:
+    got = M.fragment_weights(v.contacts(), v.elements().select("id", F.col("gc").alias("w")))
+    return got.withColumn("total", F.round(F.col("total") * 1e6, 4))
+
+
+@query()
+def express_log_k(v: Views) -> DataFrame:
+    located = v.located().where("chr1 = chr2 and mid1 <> mid2")
+    expected = located.select("id1", "id2", (-F.log(F.abs(F.col("mid2") - F.col("mid1"))) / 10).alias("e"))
+    return Mo.express_log(located.select("id1", "id2", "n"), expected, 2).withColumn("c", r6("c"))
+
+
+ORACLE_SQL["express_log_k"] = sql("lc", "") + """, r AS MATERIALIZED (SELECT id1, id2, ln(n) + ln(abs(mid2 - mid1)) / 10 AS r FROM lc WHERE chr1 = chr2 AND mid1 <> mid2), e AS MATERIALIZED (SELECT id1 AS id, id2 AS other, r FROM r UNION ALL SELECT id2, id1, r FROM r),
+    s0 AS MATERIALIZED (SELECT DISTINCT id, CAST(0 AS DOUBLE) AS c FROM e), s1 AS MATERIALIZED (SELECT e.id, a.c + 0.5 * sum(r - a.c - b.c) / count(*) AS c FROM e JOIN s0 a ON e.id = a.id JOIN s0 b ON e.other = b.id GROUP BY e.id, a.c),
+    s2 AS MATERIALIZED (SELECT e.id, a.c + 0.5 * sum(r - a.c - b.c) / count(*) AS c FROM e JOIN s1 a ON e.id = a.id JOIN s1 b ON e.other = b.id GROUP BY e.id, a.c) SELECT id, round(c, 6) AS c FROM s2"""
+
+
+@query("elements", f"""SELECT DISTINCT q.rid, q.chr, q.pos, CASE WHEN q.rid % 2 = 1 THEN (SELECT min(mid) FROM elements t WHERE t.chr = q.chr AND t.mid >= q.pos) ELSE (SELECT max(mid) FROM elements t WHERE t.chr = q.chr AND t.mid <= q.pos) END AS site FROM {_POINTS} q""")
+def nearest_site_by_strand(v: Views) -> DataFrame:
+    reads = _points(v).distinct().withColumn("strand", F.col("rid") % 2)
+    return Re.nearest_site_by_strand(reads, _sites(v))
+
+
+@query("iv_a", """SELECT a.id, CAST(sum(least(a."end", b."end") - greatest(a.start, b.start)) AS BIGINT) AS shared, count(*) AS n FROM iv_a a JOIN iv_a b ON a.chr = b.chr AND a.id <> b.id AND a.start < b."end" AND b.start < a."end" GROUP BY a.id""")
+def iv_self_overlap(v: Views) -> DataFrame:
+    return I.overlap_join(v.iv_a(), v.iv_a()).where("id <> id2").groupBy("id").agg(F.sum("overlap").alias("shared"), F.count("*").alias("n"))
