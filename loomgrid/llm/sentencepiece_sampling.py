@@ -36,7 +36,7 @@ SAMPLES = 2
 SHARPNESS = 1.0
 SEED = 20
 #: Characters of the texts that are worked on at once, beyond which a longer text stands alone.
-BATCH_CHARS = 400_000
+BATCH_CHARS = 2_000_000
 #: Words up to so many bytes are summed up in plain floats, several at once; longer ones in logarithms.
 SHORT_WORD = 64
 
@@ -79,10 +79,11 @@ class Vocabulary:
                     ends.append(-1)
                 at = children[at][c]
             ends[at] = k
-        self.trie = np.zeros((len(children), 256), dtype=np.int32)
+        #: Next state for state * 256 + byte, 0 where there is none.
+        self.trie = np.zeros(len(children) * 256, dtype=np.int32)
         for at, some in enumerate(children):
             for c, to in some.items():
-                self.trie[at, c] = to
+                self.trie[at * 256 + c] = to
         self.ends = np.array(ends, dtype=np.int32)
 
 
@@ -111,15 +112,15 @@ class Lattices:
         at, state, depth = starts, np.zeros(len(starts), dtype=np.int32), 0
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(at):
-            state = v.trie[state, self.text[at + depth]]
-            live = state > 0
-            at, state = at[live], state[live]
+            state = v.trie.take((state << 8) | self.text.take(at + depth))
+            live = np.flatnonzero(state)
+            at, state = at.take(live), state.take(live)
             depth += 1
-            end = v.ends[state]
-            hit = end >= 0
-            found.append((at[hit], np.full(int(hit.sum()), depth, dtype=np.int64), end[hit]))
-            more = at + depth < stop[at]
-            at, state = at[more], state[more]
+            end = v.ends.take(state)
+            hit = np.flatnonzero(end >= 0)
+            found.append((at.take(hit), np.full(len(hit), depth, dtype=np.int64), end.take(hit)))
+            more = np.flatnonzero(at + depth < stop.take(at))
+            at, state = at.take(more), state.take(more)
         lead = self.text[starts]
         width = np.minimum(1 + (lead >= 0xC0).astype(np.int64) + (lead >= 0xE0) + (lead >= 0xF0), stop[starts] - starts)
         known = np.zeros(len(self.text), dtype=bool)
@@ -146,11 +147,12 @@ class Lattices:
         self.is_first[self.first_node] = True
         self.log_p = self._conditional(w, dst, word, size, nodes)
         p = np.exp(self.log_p)
+        #: The chance to leave an edge's end by another edge.
+        self.other = np.where((count == 1)[dst], 0.0, -np.expm1(self.log_p))
         run = np.cumsum(p)
         self.upto = run - np.where(self.first_edge[dst] > 0, run[self.first_edge[dst] - 1], 0.0)
         last = np.r_[dst[1:] != dst[:-1], True] if len(dst) else np.zeros(0, dtype=bool)
         self.upto[last] = 2.0
-        self.alone = (count == 1)[dst]
 
     def _conditional(self, w: np.ndarray, dst: np.ndarray, word: np.ndarray, size: np.ndarray, nodes: int) -> np.ndarray:
         """Log-probability of each edge given the node it ends in, from the sums over all paths to each node."""
@@ -188,16 +190,16 @@ class Lattices:
         lengths = np.zeros(len(nodes), dtype=np.int64)
         while len(chain):
             r = uniform(seeds[chain] + np.uint64(step * 0xD1342543DE82EF95 % (1 << 64)))
-            edge = self.first_edge[at].copy()
-            wait = np.flatnonzero(self.upto[edge] <= r)
+            edge = self.first_edge.take(at)
+            wait = np.flatnonzero(self.upto.take(edge) <= r)
             while len(wait):
                 edge[wait] += 1
-                wait = wait[self.upto[edge[wait]] <= r[wait]]
+                wait = wait[self.upto.take(edge[wait]) <= r[wait]]
             got.append((chain, edge))
             lengths[chain] += 1
-            at = self.src[edge]
-            on = ~self.is_first[at]
-            chain, at, step = chain[on], at[on], step + 1
+            at = self.src.take(edge)
+            on = np.flatnonzero(~self.is_first.take(at))
+            chain, at, step = chain.take(on), at.take(on), step + 1
         offsets = np.cumsum(lengths) - lengths
         out = np.zeros(int(lengths.sum()), dtype=np.int64)
         for k, (chain, edge) in enumerate(got):
@@ -239,46 +241,69 @@ def _seed(*parts: int) -> int:
     return h
 
 
-def _truncated(mass: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
+def _truncated(mass: float, bound: float, u: float) -> float:
     """Largest perturbed value among paths of total log-probability ``mass``, known to be at most ``bound``."""
-    with np.errstate(over="ignore", divide="ignore"):
-        x = mass - np.log(np.exp(np.minimum(700.0, mass - bound)) - np.log(u))
-        # Far below the bound exp() is 0, far above it the bound itself is the value.
-        return np.where(np.isneginf(mass), -np.inf, np.minimum(bound, x))
+    return min(bound, mass - float(np.log(np.exp(min(700.0, mass - bound)) - np.log(u))))
+
+
+def _chance(seed: int) -> float:
+    """``uniform`` of one number."""
+    return float(uniform(np.array([seed], dtype=np.uint64))[0])
 
 
 class Drawn:
-    """One drawn path and the parts of the path space that leave it from ``start`` on."""
-
-    def __init__(self, edges: np.ndarray, word_of: np.ndarray, log_p: np.ndarray, start: int, bound: float, seed: int, alone: np.ndarray):
-        self.edges, self.word_of, self.start, self.value = edges, word_of, start, bound
-        self.before = np.cumsum(log_p) - log_p
-        self.log_prob = float(log_p.sum())
-        rest = np.where(alone, -np.inf, np.log(np.maximum(TINY, -np.expm1(log_p))))
-        rest = np.where(-np.expm1(log_p) < 1e-15, -np.inf, rest)
-        mass = (self.before + rest)[start:]
-        u = uniform(np.uint64(seed) + np.arange(start, len(edges), dtype=np.uint64))
-        self.left = _truncated(mass, bound, u)
-        #: For parts opened before: the edges that are excluded there.
-        self.excluded: dict[int, list[int]] = {}
+    """One drawn path and the parts of the path space that leave it from ``start`` on.
 
-    def best(self) -> tuple[float, int]:
-        if not len(self.left):
-            return -np.inf, -1
-        k = int(self.left.argmax())
-        return float(self.left[k]), self.start + k
+    ``value`` is the largest perturbed value in all its parts: a Gumbel of their total probability,
+    truncated at ``bound``. Which part holds it does not depend on the value and is drawn when the
+    part is opened, each with its share of the total.
+    """
 
+    def __init__(self, lat: Lattices, edges: np.ndarray, word_of: np.ndarray, start: int, bound: float, seed: int):
+        self.edges, self.word_of, self.start = edges, word_of, start
+        log_p = lat.log_p.take(edges)
+        upto = np.cumsum(log_p)
+        self.log_prob = float(upto[-1])
+        self.before = upto - log_p
+        self.mass = np.exp(self.before[start:]) * lat.other.take(edges[start:])
+        self.value = self._largest(bound, seed)
+        #: For parts opened before: the edges that are excluded there.
+        self.excluded: dict[int, list[int]] = {}
 
-def _draw_next(lat: Lattices, paths: list[Drawn], ends: np.ndarray, key: int) -> Drawn | None:
-    """Open the part with the largest perturbed value and complete its path."""
-    value, at, parent = max(((*p.best(), k) for k, p in enumerate(paths)), key=lambda x: (x[0], -x[2]))
+    def _largest(self, bound: float, seed: int) -> float:
+        total = float(self.mass.sum())
+        if total <= 0:
+            return -np.inf
+        return _truncated(float(np.log(total)), bound, _chance(seed))
+
+    def part(self, u: float) -> int:
+        """The place of the part that holds the largest value."""
+        upto = np.cumsum(self.mass)
+        return self.start + min(int(np.searchsorted(upto, u * upto[-1], side="right")), int(np.flatnonzero(self.mass)[-1]))
+
+    def shrink(self, at: int, mass: float, bound: float, seed: int) -> None:
+        """A part gives up what was opened; what is left lies below the opened value."""
+        self.mass[at - self.start] = mass
+        self.value = self._largest(bound, seed)
+
+    def in_reading_order(self) -> np.ndarray:
+        """The edges with each word's turned around, as walks begin at a word's end."""
+        n = len(self.edges)
+        cuts = np.flatnonzero(np.r_[True, self.word_of[1:] != self.word_of[:-1]])
+        stops = np.r_[cuts[1:], n]
+        return self.edges[np.repeat(cuts + stops - 1, stops - cuts) - np.arange(n)]
+
+
+def _open_part(lat: Lattices, paths: list[Drawn], key: int) -> tuple[Drawn, int, int, float] | None:
+    """(path, place, edge, value): where the part with the largest perturbed value leaves a drawn path, and by which edge."""
+    p = max(paths, key=lambda x: x.value)
+    value, draw = p.value, len(paths)
     if np.isneginf(value):
         return None
-    p, draw = paths[parent], len(paths)
+    at = p.part(_chance(_seed(key, draw, 3)))
     gone = p.excluded.setdefault(at, [int(p.edges[at])])
     old = int(p.edges[at])
-    node = int(lat.src[old] + lat.length[old])
-    a = int(lat.first_edge[node])
+    a = int(lat.first_edge[lat.src[old] + lat.length[old]])
     others = []
     while True:  # the edges of a node stand together, the last closed by 2.0
         if a not in gone:
@@ -287,55 +312,98 @@ def _draw_next(lat: Lattices, paths: list[Drawn], ends: np.ndarray, key: int) ->
             break
         a += 1
     chances = np.exp(lat.log_p[others])
-    r = float(uniform(np.array([_seed(key, draw, at)], dtype=np.uint64))[0]) * chances.sum()
-    edge = others[min(len(others) - 1, int(np.searchsorted(np.cumsum(chances), r)))]
+    r = _chance(_seed(key, draw, 4)) * chances.sum()
+    k = min(len(others) - 1, int(np.searchsorted(np.cumsum(chances), r)))
+    edge = others[k]
     gone.append(edge)
-    left = [k for k in others if k != edge]
-    mass = np.array([p.before[at] + np.log(max(TINY, float(np.exp(lat.log_p[left]).sum()))) if left else -np.inf])
-    p.left[at - p.start] = _truncated(mass, value, uniform(np.array([_seed(key, draw, at, 1)], dtype=np.uint64)))[0]
-    # The rest of the word from where the new edge begins, and all words after it, are drawn afresh.
-    w = int(p.word_of[at])
-    nodes = np.r_[lat.src[edge], ends[w + 1 :]]
-    seeds = np.uint64(_seed(key, draw)) + np.arange(w, len(ends), dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
-    fresh, offsets = lat.walk(nodes, seeds)
-    edges = np.concatenate([p.edges[:at], [edge], fresh])
-    word_of = np.concatenate([p.word_of[:at], [w], np.repeat(np.arange(w, len(ends)), np.diff(offsets))])
-    return Drawn(edges, word_of, lat.log_p[edges], at + 1, value, _seed(key, draw, 2), lat.alone[edges])
+    left = float(np.delete(chances, k).sum())
+    p.shrink(at, float(np.exp(p.before[at])) * left, value, _seed(key, draw, 5))
+    return p, at, edge, value
+
+
+STRIDE = np.uint64(0xA0761D6478BD642F)
+
+
+def _draw_more(lat: Lattices, every: list[list[Drawn]], ends: list[np.ndarray], keys: list[int], samples: int) -> None:
+    """Give each text its next draws; the rests of all texts' new paths are walked at once."""
+    for draw in range(1, samples):
+        opened, nodes, seeds = [], [], []
+        for t, paths in enumerate(every):
+            if len(paths) != draw or (part := _open_part(lat, paths, keys[t])) is None:
+                continue
+            # The rest of the word from where the new edge begins, and all words after it, are drawn afresh.
+            w = int(part[0].word_of[part[1]])
+            opened.append((t, w, part))
+            nodes.append(np.r_[lat.src[part[2]], ends[t][w + 1 :]])
+            seeds.append(np.uint64(_seed(keys[t], draw)) + np.arange(w, len(ends[t]), dtype=np.uint64) * STRIDE)
+        if not opened:
+            return
+        fresh, offsets = lat.walk(np.concatenate(nodes), np.concatenate(seeds))
+        sizes = np.diff(offsets)
+        first = 0
+        for t, w, (p, at, edge, value) in opened:
+            n = len(ends[t]) - w
+            edges = np.concatenate([p.edges[:at], [edge], fresh[offsets[first] : offsets[first + n]]])
+            word_of = np.concatenate([p.word_of[:at], [w], np.repeat(np.arange(w, len(ends[t])), sizes[first : first + n])])
+            every[t].append(Drawn(lat, edges, word_of, at + 1, value, _seed(keys[t], draw, 2)))
+            first += n
+
+
+class Numbered(dict):
+    """Numbers of the different words of some texts, in order of first sight.
+
+    A word after one space is kept without it; other words are kept with all their spaces, as U+2581.
+    """
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+    def of_text(self, text: str) -> list[int]:
+        if not text:
+            return []
+        parts = text.split(" ")
+        if "" in parts or SPACE in text:
+            parts = WORD.findall(SPACE + text.replace(" ", SPACE))
+        return [self[w] for w in parts]
+
+    def spelt(self) -> list[bytes]:
+        one = SPACE.encode()
+        return [w.encode() if w[0] == SPACE else one + w.encode() for w in self]
 
 
 def draw_batch(texts: list[str], keys: list[int], v: Vocabulary, samples: int = SAMPLES) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each text its draws in order: (piece ids, log-probability, log of the chance of inclusion)."""
-    index: dict[str, int] = {}
-    words = [[index.setdefault(w, len(index)) for w in WORD.findall(SPACE + t.replace(" ", SPACE))] if t else [] for t in texts]
+    index = Numbered()
+    words = [index.of_text(t) for t in texts]
     if not index:
         return [[(np.zeros(0, dtype=np.int32), 0.0, 0.0)] for _ in texts]
-    lat = Lattices([w.encode() for w in index], v)
+    lat = Lattices(index.spelt(), v)
     flat = lat.last_node[np.array([w for some in words for w in some], dtype=np.int64)]
     counts = np.array([len(some) for some in words])
     first = np.cumsum(counts) - counts
     base = np.array([_seed(k, 0) for k in keys], dtype=np.uint64)
     within = np.arange(len(flat), dtype=np.uint64) - np.repeat(first, counts).astype(np.uint64)
-    edges, offsets = lat.walk(flat, np.repeat(base, counts) + within * np.uint64(0xA0761D6478BD642F))
+    edges, offsets = lat.walk(flat, np.repeat(base, counts) + within * STRIDE)
     word_of = np.repeat(within.astype(np.int64), np.diff(offsets))
-    log_p, alone = lat.log_p[edges], lat.alone[edges]
-    out = []
+    every: list[list[Drawn]] = []
+    ends = [flat[s : s + n] for s, n in zip(first.tolist(), counts.tolist(), strict=True)]
     for key, s, n in zip(keys, first.tolist(), counts.tolist(), strict=True):
-        if not n:
+        a, b = offsets[s], offsets[s + n]
+        value = float(-np.log(-np.log(_chance(_seed(key, 9)))))
+        every.append([Drawn(lat, edges[a:b], word_of[a:b], 0, value, _seed(key, 0, 2))] if n else [])
+    _draw_more(lat, every, ends, keys, samples)
+    out = []
+    for paths in every:
+        if not paths:
             out.append([(np.zeros(0, dtype=np.int32), 0.0, 0.0)])
             continue
-        a, b = offsets[s], offsets[s + n]
-        ends = flat[s : s + n]
-        value = float(-np.log(-np.log(uniform(np.array([_seed(key, 9)], dtype=np.uint64))[0])))
-        paths = [Drawn(edges[a:b], word_of[a:b], log_p[a:b], 0, value, _seed(key, 0, 2), alone[a:b])]
-        while len(paths) < samples and (more := _draw_next(lat, paths, ends, key)) is not None:
-            paths.append(more)
-        threshold = max(p.best()[0] for p in paths)
+        threshold = max(p.value for p in paths)
         draws = []
         for p in paths:
             x = p.log_prob - threshold
             chance = x if x < -30 else float(np.log(-np.expm1(-np.exp(min(x, 700.0)))))
-            order = np.lexsort((-np.arange(len(p.edges)), p.word_of))
-            draws.append((lat.ids(p.edges[order], v), p.log_prob, chance))
+            draws.append((lat.ids(p.in_reading_order(), v), p.log_prob, chance))
         out.append(draws)
     return out
 
