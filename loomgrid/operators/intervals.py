@@ -4,6 +4,9 @@ Set operations work on islands: maximal runs of covered positions. A chromosome
 all rows, so islands are first formed inside tiles of a fixed width, each a group of its own, and
 only the tiles' islands - far fewer - are joined up along the chromosome. Overlap joins meet in tiles
 too; a pair is reported by the one tile in which its later start lies, so no distinct is needed.
+
+``tile`` is best a few times the usual length of an interval: shorter tiles copy long intervals more
+often, longer ones compare more pairs that do not meet.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TILE = 1 << 16
+TILE = 1 << 12
 
 
 def _tiles(start: str | Column, end: str | Column, width: int) -> Column:
