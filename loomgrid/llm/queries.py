@@ -88,4 +88,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    # The given pages have one article each, and only a few kinds of tags and references inside it.
+    "op3_html_main_text": r"""SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM (SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1), '</?(p|br|h1|h2|h3|ul|li|div)[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'),
+    '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM pages)""",
+    # Every 100-byte window of every text, ranked among its equals; the runs that later ones cover are cut.
+    "op4_suffix_array_dedup": """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT doc_id, b, CAST(octet_length(b) AS BIGINT) AS n FROM d),
+w AS (SELECT doc_id, i, b[i:i + 99] AS k FROM (SELECT doc_id, b, unnest(generate_series(1, n - 99)) AS i FROM n WHERE n >= 100)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM w) WHERE r > 1),
+g AS (SELECT doc_id, i, sum(f) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS f FROM r)),
+s AS (SELECT doc_id, min(i) AS s, max(i) + 100 AS e FROM g GROUP BY doc_id, g),
+c AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 1) AS f, s AS t FROM s UNION ALL SELECT n.doc_id, coalesce(x.e, 1), n.n + 1 FROM n LEFT JOIN (SELECT doc_id, max(e) AS e FROM s GROUP BY 1) x ON n.doc_id = x.doc_id),
+h AS (SELECT c.doc_id, coalesce(string_agg(hex(b[f:t - 1]), '' ORDER BY f), '') AS h FROM c JOIN n ON c.doc_id = n.doc_id WHERE t > f GROUP BY 1)
+SELECT n.doc_id, n.n AS n_bytes, CAST(coalesce(q.removed, 0) AS BIGINT) AS n_removed, coalesce(q.spans, 0) AS n_spans, sha256(unhex(coalesce(h.h, ''))) AS kept_sha256
+FROM n LEFT JOIN (SELECT doc_id, sum(e - s) AS removed, count(*) AS spans FROM s GROUP BY 1) q ON n.doc_id = q.doc_id LEFT JOIN h ON n.doc_id = h.doc_id""",
+}
