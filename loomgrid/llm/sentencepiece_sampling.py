@@ -36,7 +36,7 @@ SAMPLES = 2
 SHARPNESS = 1.0
 SEED = 20
 #: Characters of the texts that are worked on at once, beyond which a longer text stands alone.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_200_000
 #: Words up to so many bytes are summed up in plain floats, several at once; longer ones in logarithms.
 SHORT_WORD = 64
 
@@ -100,15 +100,39 @@ class Lattices:
     """
 
     def __init__(self, words: list[bytes], v: Vocabulary):
-        size = np.array([len(w) for w in words], dtype=np.int64)
+        size = np.array([len(w) for w in words], dtype=np.int32)
         self.text = np.frombuffer(b"".join(words), dtype=np.uint8)
-        begin = np.cumsum(size) - size
-        word = np.repeat(np.arange(len(words)), size)
+        begin = (np.cumsum(size) - size).astype(np.int32)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), size)
         stop = (begin + size)[word]
         # Node of the place before byte p of word w: p + w. Each word has one node more than bytes.
-        self.first_node = begin + np.arange(len(words))
+        self.first_node = begin + np.arange(len(words), dtype=np.int32)
         self.last_node = self.first_node + size
-        starts = np.flatnonzero((self.text & 0xC0) != 0x80)
+        place, length, piece = self._edges(v, stop)
+        src = place + word[place]
+        dst = src + length
+        order = np.argsort(dst * np.int64(64) + np.maximum(0, 63 - length))
+        self.place, self.length, self.piece, self.src = place[order], length[order], piece[order], src[order]
+        dst = dst[order]
+        del place, length, piece, src, order, stop
+        nodes = len(self.text) + len(words)
+        count = np.bincount(dst, minlength=nodes)
+        self.first_edge = (np.cumsum(count) - count).astype(np.int32)
+        w = np.where(self.piece >= 0, v.log_weight[np.maximum(self.piece, 0)], self.length * v.log_byte)
+        self.is_first = np.zeros(nodes + 1, dtype=bool)
+        self.is_first[self.first_node] = True
+        self.log_p = self._conditional(w, dst, word, size, nodes)
+        del w
+        #: The chance to leave an edge's end by another edge.
+        self.other = np.where((count == 1)[dst], 0.0, -np.expm1(self.log_p)).astype(np.float32)
+        run = np.cumsum(np.exp(self.log_p))
+        begins = self.first_edge[dst]
+        self.upto = (run - np.where(begins > 0, run[begins - 1], 0.0)).astype(np.float32)
+        self.upto[np.r_[dst[1:] != dst[:-1], True] if len(dst) else []] = 2.0
+
+    def _edges(self, v: Vocabulary, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, length in bytes, piece) of every piece that stands somewhere in the words."""
+        starts = np.flatnonzero((self.text & 0xC0) != 0x80).astype(np.int32)
         at, state, depth = starts, np.zeros(len(starts), dtype=np.int32), 0
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(at):
@@ -118,41 +142,20 @@ class Lattices:
             depth += 1
             end = v.ends.take(state)
             hit = np.flatnonzero(end >= 0)
-            found.append((at.take(hit), np.full(len(hit), depth, dtype=np.int64), end.take(hit)))
+            found.append((at.take(hit), np.full(len(hit), depth, dtype=np.int32), end.take(hit)))
             more = np.flatnonzero(at + depth < stop.take(at))
             at, state = at.take(more), state.take(more)
         lead = self.text[starts]
-        width = np.minimum(1 + (lead >= 0xC0).astype(np.int64) + (lead >= 0xE0) + (lead >= 0xF0), stop[starts] - starts)
+        width = np.minimum(1 + (lead >= 0xC0).astype(np.int32) + (lead >= 0xE0) + (lead >= 0xF0), stop[starts] - starts)
         known = np.zeros(len(self.text), dtype=bool)
-        spans = np.zeros(len(self.text), dtype=np.int64)
+        spans = np.zeros(len(self.text), dtype=np.int32)
         spans[starts] = width
         for a, n, _ in found:
             if len(a):
                 known[a[spans[a] == n]] = True
         rare = starts[~known[starts]]
         found.append((rare, spans[rare], np.full(len(rare), -1, dtype=np.int32)))
-        place = np.concatenate([f[0] for f in found]) if found else np.zeros(0, dtype=np.int64)
-        length = np.concatenate([f[1] for f in found])
-        piece = np.concatenate([f[2] for f in found])
-        src = place + word[place]
-        dst = src + length
-        order = np.argsort(dst * 64 + np.maximum(0, 63 - length))
-        self.place, self.length, self.piece, self.src = place[order], length[order], piece[order], src[order]
-        dst = dst[order]
-        nodes = len(self.text) + len(words)
-        count = np.bincount(dst, minlength=nodes)
-        self.first_edge = np.cumsum(count) - count
-        w = np.where(self.piece >= 0, v.log_weight[np.maximum(self.piece, 0)], self.length * v.log_byte)
-        self.is_first = np.zeros(nodes + 1, dtype=bool)
-        self.is_first[self.first_node] = True
-        self.log_p = self._conditional(w, dst, word, size, nodes)
-        p = np.exp(self.log_p)
-        #: The chance to leave an edge's end by another edge.
-        self.other = np.where((count == 1)[dst], 0.0, -np.expm1(self.log_p))
-        run = np.cumsum(p)
-        self.upto = run - np.where(self.first_edge[dst] > 0, run[self.first_edge[dst] - 1], 0.0)
-        last = np.r_[dst[1:] != dst[:-1], True] if len(dst) else np.zeros(0, dtype=bool)
-        self.upto[last] = 2.0
+        return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
 
     def _conditional(self, w: np.ndarray, dst: np.ndarray, word: np.ndarray, size: np.ndarray, nodes: int) -> np.ndarray:
         """Log-probability of each edge given the node it ends in, from the sums over all paths to each node."""
@@ -201,7 +204,7 @@ class Lattices:
             on = np.flatnonzero(~self.is_first.take(at))
             chain, at, step = chain.take(on), at.take(on), step + 1
         offsets = np.cumsum(lengths) - lengths
-        out = np.zeros(int(lengths.sum()), dtype=np.int64)
+        out = np.zeros(int(lengths.sum()), dtype=np.int32)
         for k, (chain, edge) in enumerate(got):
             out[offsets[chain] + k] = edge
         return out, np.r_[offsets, len(out)]
@@ -265,7 +268,7 @@ class Drawn:
         upto = np.cumsum(log_p)
         self.log_prob = float(upto[-1])
         self.before = upto - log_p
-        self.mass = np.exp(self.before[start:]) * lat.other.take(edges[start:])
+        self.mass = np.exp(self.before[start:]) * lat.other.take(edges[start:]).astype(np.float64)
         self.value = self._largest(bound, seed)
         #: For parts opened before: the edges that are excluded there.
         self.excluded: dict[int, list[int]] = {}
@@ -343,8 +346,8 @@ def _draw_more(lat: Lattices, every: list[list[Drawn]], ends: list[np.ndarray],
         first = 0
         for t, w, (p, at, edge, value) in opened:
             n = len(ends[t]) - w
-            edges = np.concatenate([p.edges[:at], [edge], fresh[offsets[first] : offsets[first + n]]])
-            word_of = np.concatenate([p.word_of[:at], [w], np.repeat(np.arange(w, len(ends[t])), sizes[first : first + n])])
+            edges = np.concatenate([p.edges[:at], np.array([edge], dtype=np.int32), fresh[offsets[first] : offsets[first + n]]])
+            word_of = np.concatenate([p.word_of[:at], np.array([w], dtype=np.int32), np.repeat(np.arange(w, len(ends[t]), dtype=np.int32), sizes[first : first + n])])
             every[t].append(Drawn(lat, edges, word_of, at + 1, value, _seed(keys[t], draw, 2)))
             first += n
 
@@ -385,7 +388,7 @@ def draw_batch(texts: list[str], keys: list[int], v: Vocabulary, samples: int =
     base = np.array([_seed(k, 0) for k in keys], dtype=np.uint64)
     within = np.arange(len(flat), dtype=np.uint64) - np.repeat(first, counts).astype(np.uint64)
     edges, offsets = lat.walk(flat, np.repeat(base, counts) + within * STRIDE)
-    word_of = np.repeat(within.astype(np.int64), np.diff(offsets))
+    word_of = np.repeat(within.astype(np.int32), np.diff(offsets))
     every: list[list[Drawn]] = []
     ends = [flat[s : s + n] for s, n in zip(first.tolist(), counts.tolist(), strict=True)]
     for key, s, n in zip(keys, first.tolist(), counts.tolist(), strict=True):
