@@ -160,12 +160,12 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return marked.join(by_fp, "fp").select("id", "fp", "component_id")
 
 
-def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without near-duplicates: of each class the row with the smallest id stays.
+def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes_of=near_duplicate_classes) -> DataFrame:
+    """``docs`` without near-duplicates: of each class of ``classes_of`` the row with the smallest id stays.
 
     Of rows that repeat an id one stays. Rows with a null id cannot be told apart and all stay.
     """
-    classes = near_duplicate_classes(docs, id_col, text_col)
+    classes = classes_of(docs, id_col, text_col)
     first = classes.where("id = component_id").select(F.col("id").alias(id_col)).distinct()
     named = docs.where(F.col(id_col).isNotNull()).join(first, id_col, "left_semi").dropDuplicates([id_col])
     return named.unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)
