@@ -20,7 +20,7 @@ WORDS = 5
 COVERAGE = 0.8
 #: Share of the distinct slot values of a match that may have more than one counterpart.
 SLOT_SLACK = 0.1
-#: A window of fewer literal words than this names nothing in particular.
+#: A window of fewer literal words than this names nothing in particular by its template; its own words are its key.
 LITERAL_WORDS = 2
 #: Benchmark windows up to this many (about 200 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_WINDOWS = 100_000
@@ -34,6 +34,7 @@ UNITS = (
     "dollar dollars cent cents euro euros percent degree degrees"
 ).split()
 NUMBER, NAME, UNIT = "0", "1", "2"
+PLACEHOLDERS = f"'{NUMBER}', '{NAME}', '{UNIT}'"
 #: A capitalised word that opens no sentence. Words all in capitals are words like any other.
 NAME_PATTERN = r"(?=\p{Lu}\p{Ll})(?<![\p{L}\p{N}])(?<![.!?:\n]\s?)(?<!^)[\p{L}\p{N}]+"
 TOKEN = r"[\p{L}\p{N}]+"
@@ -61,47 +62,63 @@ def template_words(text: Column) -> Column:
     )
 
 
-def _hashes(template: str) -> Column:
-    """The hash of each window of an array of template words."""
-    return F.expr(
-        f"if(size({template}) < {WORDS}, array(), transform(sequence(1, size({template}) - {WORDS - 1}), i -> xxhash64(slice({template}, i, {WORDS}))))"
-    )
+def _few(at: str) -> str:
+    """Whether the window of ``template`` from place ``at`` (of 1 on) has too few literal words."""
+    return f"size(filter(slice(template, {at}, {WORDS}), x -> x not in ({PLACEHOLDERS}))) < {LITERAL_WORDS}"
+
+
+def _hashes() -> Column:
+    """The key of each window of ``words`` and ``template``: its template, or its words where few are literal."""
+    each = f"transform(sequence(1, size(template) - {WORDS - 1}), i -> %s)"
+    by_template = f"xxhash64(slice(template, i, {WORDS}))"
+    by_either = f"if({_few('i')}, xxhash64(transform(slice(words, i, {WORDS}), x -> lower(x))), {by_template})"
+    # Few literal words in a window mean two placeholders side by side; most texts have none.
+    crowded = "concat_ws(' ', '', template, '') rlike ' [012] [012] '"
+    return F.expr(f"if(size(template) < {WORDS}, array(), if({crowded}, {each % by_either}, {each % by_template}))")
 
 
 def template_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item, at, hash, words, slots, n): each window of each item, ``slots`` telling placeholders."""
-    found = items.select(F.col(id_col).cast("long").alias("item"), template_words(F.col(text_col)).alias("t")).select(
-        "item", "t.words", "t.template", F.size("t.template").alias("n"), F.posexplode(_hashes("t.template")).alias("at", "hash")
-    )
-    part = found.select(
-        "item", "n", "at", "hash", F.expr(f"slice(words, at + 1, {WORDS})").alias("words"), F.expr(f"transform(slice(template, at + 1, {WORDS}), x -> x in ('{NUMBER}', '{NAME}', '{UNIT}'))").alias("slots")
-    )
-    return part.where(F.expr(f"size(filter(slots, x -> not x)) >= {LITERAL_WORDS}"))
+    """(item, at, hash): the keys of each window of each item.
+
+    All windows have their lower-cased words as a key, and those with enough literal words their
+    template too. Words without any placeholder are their own template.
+    """
+    found = items.select(F.col(id_col).cast("long").alias("item"), template_words(F.col(text_col)).alias("t")).select("item", "t.words", "t.template")
+    places = found.where(F.size("template") >= WORDS).select("*", F.explode(F.expr(f"sequence(0, size(template) - {WORDS})")).alias("at"))
+    own = f"xxhash64(transform(slice(words, at + 1, {WORDS}), x -> lower(x)))"
+    keys = F.expr(f"if({_few('at + 1')}, array({own}), array_distinct(array({own}, xxhash64(slice(template, at + 1, {WORDS})))))")
+    return places.select("item", "at", F.explode(keys).alias("hash"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(id, item, coverage): the items that each document leaks, with the share of their words found."""
-    items = template_windows(benchmark.where(F.col(item_col).isNotNull()), item_col, item_text_col)
+    """(id, item, coverage): the items that each document leaks, with the share of their words found.
+
+    Windows that share a key lay item and document side by side; every window of such an alignment
+    then counts whose words agree, one by one, in their template or as they stand.
+    """
+    benchmark = benchmark.where(F.col(item_col).isNotNull())
+    items = template_windows(benchmark, item_col, item_text_col)
     if items.count() <= BROADCAST_WINDOWS:
         items = F.broadcast(items)
+    whole = benchmark.select(F.col(item_col).cast("long").alias("item"), template_words(F.col(item_text_col)).alias("t")).select("item", F.size("t.template").alias("n"), "t.words", "t.template")
     # Hashed as (hash, place) first: only windows that meet the benchmark's look up their words.
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), template_words(F.col(text_col)).alias("t"))
-    windows = texts.select("id", F.col("t.words").alias("own"), F.posexplode(_hashes("t.template")).alias("place", "hash"))
-    met = windows.join(items, "hash").select(
-        "id", "item", "n", "at", "words", "slots", (F.col("place") - F.col("at")).alias("shift"), F.expr(f"transform(slice(own, place + 1, {WORDS}), x -> lower(x))").alias("own")
-    )
-    # One row for each word of the item that a match covers, in each alignment.
-    covered = (
-        met.select("id", "item", "n", "shift", "at", F.posexplode(F.arrays_zip("words", "own", "slots")).alias("k", "w"))
-        .groupBy("id", "item", "n", "shift", (F.col("at") + F.col("k")).alias("word"))
-        .agg(F.first("w").alias("w"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), template_words(F.col(text_col)).alias("t")).select("id", "t.words", "t.template")
+    windows = texts.select("id", F.col("words").alias("own"), F.col("template").alias("typed"), F.posexplode(_hashes()).alias("place", "hash"))
+    met = windows.join(items, "hash").join(whole.select("item", "n"), "item").withColumn("shift", F.col("place") - F.col("at"))
+    part = "slice({}, greatest(shift, 0) + 1, n + least(shift, 0))"
+    sides = met.select("id", "item", "shift", F.expr(part.format("own")).alias("own"), F.expr(part.format("typed")).alias("typed")).distinct().join(whole, "item")
+    # The document's word beside word k of the item stands at k + least(shift, 0); outside it is null.
+    beside = "k + least(shift, 0)"
+    same = sides.withColumn(
+        "same", F.expr(f"transform(sequence(0, n - 1), k -> coalesce(get(typed, {beside}) = template[k] or lower(get(own, {beside})) = lower(words[k]), false))"),
     )
-    values = F.when(F.col("w.slots"), F.lower("w.words"))
-    pairs = F.when(F.col("w.slots"), F.struct(F.lower("w.words"), "w.own"))
-    aligned = covered.groupBy("id", "item", "n", "shift").agg(
-        F.collect_set("word").alias("covered"), F.size(F.collect_set(values)).alias("values"), F.size(F.collect_set(pairs)).alias("pairs")
+    covered = same.withColumn(
+        "covered", F.expr(f"array_distinct(flatten(transform(filter(sequence(0, n - {WORDS}), s -> forall(slice(same, s + 1, {WORDS}), x -> x)), s -> sequence(s, s + {WORDS - 1}))))")
     )
-    consistent = aligned.where(F.col("pairs") <= F.col("values") * (1 + SLOT_SLACK))
+    slots = covered.withColumn("slots", F.expr(f"filter(covered, k -> template[k] in ({PLACEHOLDERS}))"))
+    values = F.expr("size(array_distinct(transform(slots, k -> lower(words[k]))))")
+    pairs = F.expr(f"size(array_distinct(transform(slots, k -> struct(lower(words[k]), lower(get(own, {beside}))))))")
+    consistent = slots.where(pairs <= values * (1 + SLOT_SLACK))
     return (
         consistent.select("id", "item", "n", F.explode("covered").alias("word"))
         .groupBy("id", "item", "n")

@@ -63,3 +63,17 @@ def test_filter_keeps_the_rest(spark):
     assert kept.columns == docs.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 2, 2]
     none = spark.createDataFrame([], items.schema)
     assert decontaminate.without_leaks(docs, none).count() == 4
+
+
+def test_items_of_figures_and_names(spark):
+    figures = "Compute 12 17 45 23 9 31 88 64 5 70 and give the sum of all these figures"
+    names = "Alice Bob Carol Dave Erin Frank Grace Heidi"
+    items = spark.createDataFrame([(1, figures), (2, names), (3, "12 17 45 23 9 31 88")], "item_id long, text string")
+    other = "Compute 13 18 46 24 8 32 87 65 6 71 and give the sum of all these figures"
+    rows = [
+        (1, f"{FILLER} {figures} {FILLER}"), (2, f"{FILLER} {names} {FILLER}"), (3, f"{FILLER} {other}"), (4, names.lower()),
+        (5, "Ivan Judy Karl Liam Mona Nina Olga Paul"), (6, "1 2 3 4 5 6 7 8 9"), (7, "and give the sum of all these figures"), (8, "17 45 23 9 31 88 64 5 70"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r.item_ids for r in decontaminate.leak_report(docs, items).collect()}
+    assert got == {1: [1, 3], 2: [2], 3: [1], 4: [2], 5: [], 6: [], 7: [], 8: [3]}
