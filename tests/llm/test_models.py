@@ -75,3 +75,36 @@ def test_mined_url_rules(spark):
     mined = url_filter.mine_rules(df, labels, "page_id", "doc_id")
     got = {r.page_id: r.verdict for r in url_filter.judge_urls(df, mined, []).collect()}
     assert got == {k: "block" if k % 5 == 0 else "allow" for k in range(300)}
+
+
+def test_rules_of_both_kinds_are_weighed(spark):
+    """A hot host is bad but for one folder; labels are learned on two folds and hold on the third."""
+    rng = random.Random(2)
+    rows = []
+    for k in range(1500):
+        host, folder = rng.choice(["hot.net"] * 4 + ["a.org", "b.org", "c.com"]), rng.choice("news shop docs".split())
+        bad = rng.random() < (0.0 if host != "hot.net" else 0.02 if folder == "docs" else 0.7)
+        rows.append((k, f"https://{host}/{folder}/{k}", int(not bad), "m"))
+    df = spark.createDataFrame(rows, "page_id long, url string, quality int, mined string")
+    labels = df.selectExpr("page_id AS doc_id", "quality")
+    mined = url_filter.mine_rules(df, labels.where("doc_id % 3 <> 0"), "page_id", "doc_id")
+    assert {r.verdict for r in mined.collect()} == {"block", "allow"}
+    got = url_filter.judge_urls(df, mined, [])
+    assert got.columns == ["page_id", "url", "quality", "mined", "host", "path", "rule", "verdict"]
+    for r in got.where("page_id % 3 = 0").collect():
+        assert r.verdict == ("block" if r.host == "hot.net" and not r.path.startswith("/docs") else "allow") and r.mined == "m"
+
+
+def test_mined_verdicts_against_brute_force(spark):
+    """Every rule against every URL's tokens, on the given pages."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rules = [r for r in url_filter.mine_rules(pages, labels, "page_id", "doc_id").collect()]
+    own = {r.url: set(r.t) for r in pages.select("url", url_filter.url_tokens(pages.url).alias("t")).collect()}
+    want = {}
+    for url, tokens in own.items():
+        fits = [r for r in rules if set(r.tokens) <= tokens]
+        if fits:
+            want[url] = max(fits, key=lambda r: (abs(r["shift"]), r.support, len(r.tokens), -r.rule_id)).verdict
+    mined = spark.createDataFrame(rules, url_filter.RULES)
+    assert {r.url: r.mined for r in url_filter.mined_verdicts(pages, mined).collect()} == want
