@@ -14,6 +14,33 @@ def test_roles_and_blocks():
     assert main_text("<article><p>cut <b>off<br>here") == "cut off here"
 
 
+def test_names_around_and_inside_an_article():
+    article = "<article><div class='entry-header'><h1>Head</h1></div><p>Body of it</p><div id='related-work'><p>Work</p></div><div id='comments'><p>Nice</p></div></article>"
+    whole = "Head Body of it Work"
+    assert main_text(f"<body><div class='layout with-sidebar'>{article}</div><div class='sidebar'>x</div>") == whole
+    assert main_text(f"<body><div id='page' class='has-header'><header>Top</header>{article}</div>") == whole
+    assert main_text(f"<form id='aspnet'><nav>Menu</nav>{article}</form>") == whole
+    assert main_text(f"<html><head><title>T</title><meta x><body>{article}") == whole
+    assert main_text("<div class='no-comments'><p>All of the text stands in here</p></div><div class='ad'>Buy</div>") == "All of the text stands in here"
+    assert main_text("<nav>Only a menu</nav>") == "" and main_text("<div>" * 3000 + "deep") == "deep"
+
+
+def test_the_tree_alone_finds_menus(spark):
+    """Without any word list the given pages' menus, adverts and footers are found by the entropies of their hosts' trees."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").where("crc32(parse_url(url, 'HOST')) % 4 = 0")
+    rows = pages.collect()
+    want = {r.page_id: main_text(r.html) for r in rows}
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(pages, roles=False).collect()}
+    assert len(rows) > 300 and got == want
+
+
+def test_levels_by_shuffle_equal_broadcast(spark, monkeypatch):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = sorted((r.page_id, r.text) for r in html_extract.extract_main_text(pages, roles=False).collect())
+    monkeypatch.setattr(html_extract, "BROADCAST_ROWS", 0)
+    assert sorted((r.page_id, r.text) for r in html_extract.extract_main_text(pages, roles=False).collect()) == want
+
+
 def test_style_tree_cuts_what_a_host_repeats(spark):
     def page(k):
         return f"<html><body><div class='top'>Same on all pages</div><div class='x'><p>Story {k} with its own words {k * 7}</p><p>More of {k}</p></div><div class='end'>Same end</div></body></html>"
