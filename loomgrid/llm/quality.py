@@ -14,7 +14,7 @@ labelled rows every score is 0.5. Repeated rows give repeated results.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, staged
+from .common import partitions, slices, staged
 
 WORD_BITS = 14
 DIMS = 32
@@ -41,7 +41,7 @@ class Words(dict):
     """Hashed slot of each word; slot 0 is the end of a text. Forgets itself before it grows large."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         slot = self[word] = 1 + xxhash.xxh32_intdigest(word) % ((1 << WORD_BITS) - 1)
         return slot
@@ -77,14 +77,14 @@ def _add_contexts(table: np.ndarray, slots: np.ndarray, places: np.ndarray, sign
                 table += np.bincount(a * DIMS + places[b, k], weights=signs[b, k], minlength=size)
 
 
-def _batch_slots(texts: list[str | None], words: Words) -> Iterator[np.ndarray]:
-    """Slots of the texts, each closed by 0, about a million at a time."""
+def _batch_slots(texts: Iterable[str | None], words: Words) -> Iterator[np.ndarray]:
+    """Slots of the texts, each closed by 0, some 400,000 at a time."""
     held: list[int] = []
     for t in texts:
         if t:
             held.extend(words.slots(t))
             held.append(0)
-            if len(held) > 1_000_000:
+            if len(held) > 400_000:
                 yield np.array(held, dtype=np.int64)
                 held = []
     if held:
@@ -102,7 +102,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         places, signs = index_vectors()
         words = Words()
         for b in batches:
-            for slots in _batch_slots(b.column(0).to_pylist(), words):
+            for slots in _batch_slots(slices(b.column(0)), words):
                 _add_contexts(table, slots, places, signs)
         rows = table.reshape(-1, BLOCK * DIMS).astype(np.float32)
         some = [k for k in range(len(rows)) if rows[k].any()]
@@ -138,7 +138,7 @@ def pooled(docs: DataFrame, vectors: np.ndarray, text_col: str = "text", keep: t
         table, words = shared.value, Words()
         for b in batches:
             out = []
-            for t in b.column(1).to_pylist():
+            for t in slices(b.column(1)):
                 slots = np.array(words.slots(t) if t else [], dtype=np.int64)
                 counts = np.bincount(slots)
                 some = np.flatnonzero(counts)

@@ -42,7 +42,9 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sentencepiece_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sentencepiece_sampling.encode_samples(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "draw", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "log_inclusion")
+    digest = found.select("id", "draw", "ids", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "log_inclusion")
+    decoded = sentencepiece_sampling.decode_ids(digest, keep=("id", "draw", "n_pieces", "ids_hash", "log_prob", "log_inclusion"))
+    return decoded.select(F.col("id").alias("doc_id"), "draw", "n_pieces", "ids_hash", "log_prob", "log_inclusion", F.xxhash64("text").alias("decoded_hash"))
 
 
 def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,9 @@ SAMPLES = 2
 SHARPNESS = 1.0
 SEED = 20
 #: Characters of the texts that are worked on at once, beyond which a longer text stands alone.
-BATCH_CHARS = 1_200_000
+BATCH_CHARS = 600_000
+#: Rows of an Arrow batch that are turned into Python's strings at once.
+SLICE_ROWS = 128
 #: Words up to so many bytes are summed up in plain floats, several at once; longer ones in logarithms.
 SHORT_WORD = 64
 
@@ -168,22 +170,32 @@ class Lattices:
         short = np.flatnonzero(size[owner] <= SHORT_WORD)
         order = short[np.argsort(depth[short].astype(np.uint16), kind="stable")]
         cuts = np.flatnonzero(np.r_[True, depth[order][1:] != depth[order][:-1]]) if len(order) else np.zeros(0, dtype=int)
+        # Edges into one node stand together, so that each node's sum is one segment.
+        src, factor, node = self.src[order], factor[order], dst[order]
+        new = np.r_[True, node[1:] != node[:-1]]
         for s, e in zip(cuts, np.r_[cuts[1:], len(order)], strict=False):
-            g = order[s:e]
-            np.add.at(total, dst[g], total[self.src[g]] * factor[g])
+            starts = np.flatnonzero(new[s:e])
+            total[node[s:e][starts]] = np.add.reduceat(total[src[s:e]] * factor[s:e], starts)
         log_total = np.log(np.maximum(total, TINY))
         extra = 2.0 * self.length
-        for k in np.flatnonzero(size > SHORT_WORD):
-            a = self.first_edge[self.first_node[k]]
-            b = self.first_edge[self.last_node[k] + 1] if self.last_node[k] + 1 < nodes else len(dst)
-            log_total[self.first_node[k] : self.last_node[k] + 1] = -np.inf
-            log_total[self.first_node[k]] = 0.0
-            for node in np.unique(dst[a:b]).tolist():
-                s = self.first_edge[node]
-                e = self.first_edge[node + 1] if node + 1 < nodes else len(dst)
-                x = log_total[self.src[s:e]] + w[s:e] + extra[s:e]
-                m = x.max()
-                log_total[node] = m + np.log(np.exp(x - m).sum())
+        # Longer words may leave the range of floats: all of them go forward in step, node by node, in logarithms.
+        long = np.flatnonzero(size[owner] > SHORT_WORD)
+        if len(long):
+            log_total[np.repeat(size > SHORT_WORD, size + 1)] = -np.inf
+            log_total[self.first_node[size > SHORT_WORD]] = 0.0
+            order = long[np.lexsort((dst[long], depth[long]))]
+            step, node = depth[order], dst[order]
+            new = np.r_[True, node[1:] != node[:-1]]
+            group = np.flatnonzero(new)
+            cuts = np.searchsorted(step[group], np.unique(step))
+            for s, e in zip(cuts, np.r_[cuts[1:], len(group)], strict=True):
+                first = group[s]
+                g = order[first : group[e] if e < len(group) else len(order)]
+                x = log_total[self.src[g]] + w[g] + extra[g]
+                starts = group[s:e] - first
+                most = np.maximum.reduceat(x, starts)
+                times = np.diff(np.r_[starts, len(x)])
+                log_total[node[group[s:e]]] = most + np.log(np.add.reduceat(np.exp(x - np.repeat(most, times)), starts))
         return np.minimum(0.0, log_total[self.src] + w + extra - log_total[dst])
 
     def walk(self, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -425,29 +437,29 @@ def encode_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs.sparkSession.sparkContext.addFile(vocabulary)
     name = vocabulary.rsplit("/", 1)[-1]
 
+    def drawn(rows: list[tuple[int | None, str]], v: Vocabulary) -> pa.RecordBatch:
+        every = draw_batch([t for _, t in rows], [k or 0 for k, _ in rows], v, samples)
+        flat = [(k, d + 1, *x) for (k, _), draws in zip(rows, every, strict=True) for d, x in enumerate(draws)]
+        types = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in flat], t) for c, t in enumerate(types)], names=["id", "draw", "ids", "log_prob", "log_inclusion"])
+
     def run(batches):
         v = _vocabulary(SparkFiles.get(name))
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            held: list[int] = []
+            held: list[tuple[int | None, str]] = []
             size = 0
-            for k in [*range(len(texts)), None]:
-                if k is not None and texts[k] is None:
-                    continue
-                if held and (k is None or size + len(texts[k]) > BATCH_CHARS):
-                    cols: list[list] = [[], [], [], [], []]
-                    for j, draws in zip(held, draw_batch([texts[j] for j in held], [keys[j] or 0 for j in held], v, samples), strict=True):
-                        for d, (ids, log_prob, chance) in enumerate(draws):
-                            for column, value in zip(cols, (keys[j], d + 1, ids, log_prob, chance), strict=True):
-                                column.append(value)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.int32())), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.float64())],
-                        names=["id", "draw", "ids", "log_prob", "log_inclusion"],
-                    )
-                    held, size = [], 0
-                if k is not None:
-                    held.append(k)
-                    size += len(texts[k])
+            for start in range(0, b.num_rows, SLICE_ROWS):
+                part = b.slice(start, SLICE_ROWS)
+                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    if text is None:
+                        continue
+                    if held and size + len(text) > BATCH_CHARS:
+                        yield drawn(held, v)
+                        held, size = [], 0
+                    held.append((key, text))
+                    size += len(text)
+            if held:
+                yield drawn(held, v)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, draw int, ids array<int>, log_prob double, log_inclusion double")
@@ -461,9 +473,10 @@ def decode_ids(encoded: DataFrame, ids_col: str = "ids", vocabulary: str = VOCAB
     def run(batches):
         v = _vocabulary(SparkFiles.get(name))
         for b in batches:
-            ids = b.column(1)
-            texts = [decode(x.values.to_numpy(), v) if x.is_valid else None for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["_row", "text"])
+            for start in range(0, b.num_rows, SLICE_ROWS):
+                part = b.slice(start, SLICE_ROWS)
+                texts = [decode(x.values.to_numpy(), v) if x.is_valid else None for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["_row", "text"])
 
     packed = encoded.select(F.struct(*keep).alias("_row"), F.col(ids_col).alias("_ids"))
     return packed.mapInArrow(run, packed.select("_row", F.lit("").alias("text")).schema).select("_row.*", "text")

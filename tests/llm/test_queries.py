@@ -31,6 +31,15 @@ COLUMNS = {
 }
 
 
+def test_decoding_gives_the_texts_back(spark):
+    from pyspark.sql import functions as F
+
+    got = queries.op5_sentencepiece_samples(spark, SF)
+    texts = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.xxhash64("text").alias("want"))
+    odd = got.join(texts, "doc_id").where("decoded_hash <> want").count()
+    assert got.count() > texts.count() and odd == 0
+
+
 @pytest.mark.parametrize("name", sorted(COLUMNS))
 def test_columns_and_rows(spark, name):
     got = queries.QUERIES[name](spark, SF)
