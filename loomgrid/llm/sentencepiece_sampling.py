@@ -232,7 +232,7 @@ class Lattices:
         A walk lists a word's edges from its end, so callers pass them in reading order.
         """
         piece = self.piece[edges]
-        if (piece >= 0).all():
+        if piece.min(initial=0) >= 0:
             return piece
         times = np.where(piece >= 0, 1, self.length[edges])
         out = np.repeat(piece, times)
@@ -309,9 +309,9 @@ class Drawn:
     def in_reading_order(self) -> np.ndarray:
         """The edges with each word's turned around, as walks begin at a word's end."""
         n = len(self.edges)
-        cuts = np.flatnonzero(np.r_[True, self.word_of[1:] != self.word_of[:-1]])
-        stops = np.r_[cuts[1:], n]
-        return self.edges[np.repeat(cuts + stops - 1, stops - cuts) - np.arange(n)]
+        inner = np.flatnonzero(self.word_of[1:] != self.word_of[:-1]) + 1
+        bounds = np.concatenate(([0], inner, [n]))
+        return self.edges[np.repeat(bounds[:-1] + bounds[1:] - 1, np.diff(bounds)) - np.arange(n)]
 
 
 def _open_part(lat: Lattices, paths: list[Drawn], key: int) -> tuple[Drawn, int, int, float] | None:
@@ -385,11 +385,12 @@ class Numbered(dict):
         parts = text.split(" ")
         if "" in parts or SPACE in text:
             parts = WORD.findall(SPACE + text.replace(" ", SPACE))
-        return [self[w] for w in parts]
+        return list(map(self.__getitem__, parts))
 
     def spelt(self) -> list[bytes]:
         one = SPACE.encode()
-        return [w.encode() if w[0] == SPACE else one + w.encode() for w in self]
+        # No word holds a space, so all are encoded at once.
+        return [w if w.startswith(one) else one + w for w in " ".join(self).encode().split(b" ")]
 
 
 def draw_batch(texts: list[str], keys: list[int], v: Vocabulary, samples: int = SAMPLES) -> list[list[tuple[np.ndarray, float, float]]]:
