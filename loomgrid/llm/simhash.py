@@ -161,14 +161,30 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes_of=near_duplicate_classes) -> DataFrame:
-    """``docs`` without near-duplicates: of each class of ``classes_of`` the row with the smallest id stays.
+    """``docs`` without near-duplicates: of each class of ``classes_of`` the rows with the smallest id stay.
 
-    Of rows that repeat an id one stays. Rows with a null id cannot be told apart and all stay.
+    Of rows that repeat an id and its text one stays; rows that share an id but are of different
+    classes are judged each by its own. Rows with a null id cannot
+    be told apart and all stay.
     """
-    classes = classes_of(docs, id_col, text_col)
-    first = classes.where("id = component_id").select(F.col("id").alias(id_col)).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(first, id_col, "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)
+    mark = F.xxhash64(F.col(text_col).cast("string"))
+    named = docs.where(F.col(id_col).isNotNull())
+    repeated = named.groupBy(F.col(id_col).cast("long").alias("id")).count().where("count > 1").select("id")
+    if repeated.limit(1).count():
+        # Every different row gets a number of its own in the order of ids, and its class by that.
+        packed = named.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.struct(F.col(id_col).cast("long").alias("id"), mark.alias("mark")).alias("name"), F.col(text_col).alias("text"))
+        names = packed.select("name.id", "name.mark").distinct().orderBy("id", "mark")
+        numbered = staged(names.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("id long, mark long, number long"), "row-names")
+        numbered = numbered.select(F.struct("id", "mark").alias("name"), "number")
+        once = packed.join(numbered, "name").dropDuplicates(["number"])
+        classes = classes_of(once.select("number", "text"), "number", "text")
+        first = classes.where("id = component_id").select(F.col("id").alias("number"))
+        kept = once.join(first, "number", "left_semi").select("row.*")
+    else:
+        classes = classes_of(named, id_col, text_col)
+        first = classes.where("id = component_id").select("id").distinct()
+        kept = named.join(first, named[id_col].cast("long") == first["id"], "left_semi")
+    return kept.unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)
 
 
 def fingerprint_hex(fp: str = "fp") -> F.Column:

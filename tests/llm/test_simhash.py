@@ -85,3 +85,10 @@ def test_components(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 200), (200, 300), (300, 100), (5, 5)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 200: 100, 300: 100}
+
+
+def test_rows_that_share_an_id_are_judged_each(spark):
+    a, b = " ".join(f"first{k}" for k in range(30)), " ".join(f"second{k}" for k in range(30))
+    docs = spark.createDataFrame([(1, a), (1, b), (1, b), (2, b), (3, a), (4, "alone in here"), (None, a)], "doc_id long, text string")
+    kept = [tuple(r) for r in simhash.keep_one_per_class(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (1, b), (4, "alone in here"), (None, a)], key=str)
