@@ -6,19 +6,11 @@ rows (id1, id2, n) with id1 < id2 over elements (id, chr, mid, ...).
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read back, so that a loop's plan stays short and survives lost executors."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_loomgrid"
-    path = f"{folder.rstrip('/')}/loop-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..session import written as checkpointed
+from .ranking import exact_percentiles
 
 
 def canonical(reads: DataFrame) -> DataFrame:
@@ -86,22 +78,28 @@ def in_range(contacts: DataFrame, mindistance: int = 0, maxdistance: int = 0, in
     return contacts.where(keep)
 
 
-def core_round(contacts: DataFrame, least: int) -> DataFrame:
-    """Contacts both of whose elements have at least ``least`` partners."""
-    keep = degree(contacts).where(F.col("degree") >= least).select("id")
+def core_round(contacts: DataFrame, least: int, mindistance: int = 0, maxdistance: int = 0) -> DataFrame:
+    """Contacts both of whose elements have at least ``least`` partners, counted within the distances where these are given."""
+    counted = in_range(contacts, mindistance, maxdistance) if mindistance or maxdistance else contacts
+    keep = degree(counted).where(F.col("degree") >= least).select("id")
     return contacts.join(keep.withColumnRenamed("id", "id1"), "id1", "left_semi").join(keep.withColumnRenamed("id", "id2"), "id2", "left_semi")
 
 
-def core(contacts: DataFrame, least: int, rounds: int | None = None) -> DataFrame:
-    """Iterative degree filter, until nothing drops out or for a fixed number of rounds (then one lazy plan)."""
+def core(contacts: DataFrame, least: int, rounds: int | None = None, mindistance: int = 0, maxdistance: int = 0) -> DataFrame:
+    """Iterative degree filter, until nothing drops out or for a fixed number of rounds.
+
+    With distances (0 for none), ``contacts`` have chr1, mid1, chr2 and mid2, and partners on one
+    chromosome at a distance from ``mindistance`` up to ``maxdistance`` count; all contacts of the
+    elements that stay are kept. Each round is written, as it is used several times in the next.
+    """
     if rounds is not None:
         for _ in range(rounds):
-            contacts = core_round(contacts, least)
+            contacts = core_round(checkpointed(contacts), least, mindistance, maxdistance)
         return contacts.select("id1", "id2", "n")
     contacts = checkpointed(contacts)
     before = contacts.count()
     while before:
-        contacts = checkpointed(core_round(contacts, least))
+        contacts = checkpointed(core_round(contacts, least, mindistance, maxdistance))
         now = contacts.count()
         if now == before:
             break
@@ -125,8 +123,8 @@ def cis_to_total(contacts: DataFrame) -> DataFrame:
 
 def between_percentiles(values: DataFrame, column: str, low: float, high: float) -> DataFrame:
     """Rows whose value lies between two exact percentiles (linear interpolation) of all non-zero ones."""
-    cuts = values.where(F.col(column) != 0).agg(F.percentile(column, F.lit(low)).alias("_low"), F.percentile(column, F.lit(high)).alias("_high"))
-    return values.join(F.broadcast(cuts)).where((F.col(column) >= F.col("_low")) & (F.col(column) <= F.col("_high"))).drop("_low", "_high")
+    cuts = exact_percentiles(values.where(F.col(column) != 0), column, [low, high])
+    return values.join(F.broadcast(cuts)).where((F.col(column) >= F.col("cuts")[0]) & (F.col(column) <= F.col("cuts")[1])).select(values.columns)
 
 
 def length_filter(elements: DataFrame, shorter_than: int, longer_than: int) -> DataFrame:
@@ -174,3 +172,38 @@ def read_metrics(reads: DataFrame) -> DataFrame:
         F.count("*").alias("total"), F.count_if(cis).alias("cis"), F.count_if(~cis).alias("trans"),
         F.count_if(cis & (F.col("s1") == F.col("s2"))).alias("cis_same_strand"), F.count_if(cis & (F.col("p1") == F.col("p2"))).alias("cis_same_place"),
     )
+
+
+def contact_class(contacts: DataFrame, kind: str, threshold: int) -> DataFrame:
+    """Contacts (with chr1, mid1, chr2, mid2) of a class: trans, far_cis (at ``threshold`` or beyond), close_cis (up to it) or both."""
+    cis, d = F.col("chr1") == F.col("chr2"), F.abs(F.col("mid2") - F.col("mid1"))
+    keep = {"trans": ~cis, "far_cis": cis & (d >= threshold), "close_cis": cis & (d <= threshold), "both": F.lit(True)}
+    return contacts.where(keep[kind])
+
+
+def valid_elements(elements: DataFrame, flag: str = "valid") -> DataFrame:
+    """Elements whose flag is 1."""
+    return elements.where(F.col(flag) == 1)
+
+
+def read_kinds(reads: DataFrame, fragment_of: tuple[str, str] = ("f1", "f2")) -> DataFrame:
+    """(kind, n) of reads with the fragment of each end: re-ligation of neighbours, self-ligation and no ligation within one fragment, else mapped.
+
+    Ends that face each other within a fragment were never cut; ends that face outwards closed a circle.
+    """
+    a, b = (F.col(c) for c in fragment_of)
+    inward = F.when(F.col("p1") <= F.col("p2"), (F.col("s1") == 1) & (F.col("s2") == 0)).otherwise((F.col("s2") == 1) & (F.col("s1") == 0))
+    kind = F.when((a == b) & inward, "no_ligation").when(a == b, "self_ligation").when(F.abs(a - b) == 1, "re_ligation").otherwise("mapped")
+    return reads.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+def named_counts(counts: DataFrame, fragments: DataFrame) -> DataFrame:
+    """Contacts (id1, id2, n) from (name1, name2, n) and fragments (id, name, strand).
+
+    Pairs with an unknown name, of one fragment or of one strand drop out; repeated pairs add up.
+    """
+    for k in ("1", "2"):
+        side = fragments.select(F.col("name").alias(f"name{k}"), F.col("id").alias(f"i{k}"), F.col("strand").alias(f"t{k}"))
+        counts = counts.join(side, f"name{k}")
+    kept = counts.where("i1 <> i2 AND t1 <> t2")
+    return kept.groupBy(F.least("i1", "i2").alias("id1"), F.greatest("i1", "i2").alias("id2")).agg(F.sum("n").alias("n"))

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+from .ranking import exact_percentiles, running_counts
+
 TILE = 1 << 16
 
 
@@ -93,10 +96,10 @@ def equal_count_bins(elements: DataFrame, feature: str, bins: int, key: str = "i
     The break behind bin i is the value of rank round(i * N / bins). Values are counted before they
     are ordered, so the order runs over different values only.
     """
-    counts = elements.groupBy(feature).agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(Window.orderBy(feature).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumns({"_to": upto, "_n": F.sum("_c").over(Window.partitionBy())})
-    breaks = ranked.select(F.col(feature).alias("_v"), (F.col("_to") - F.col("_c")).alias("_from"), "_to", "_n").withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(bins - 1))))
+    counts = written(running_counts(elements, feature), "ranks")
+    total = counts.agg(F.max("upto").alias("_n"))
+    ranked = counts.join(F.broadcast(total))
+    breaks = ranked.select(F.col(feature).alias("_v"), (F.col("upto") - F.col("count")).alias("_from"), F.col("upto").alias("_to"), "_n").withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(bins - 1))))
     cut = F.round(F.col("_i") * F.col("_n") / bins)
     values = breaks.where((cut > F.col("_from")) & (cut <= F.col("_to"))).agg(F.array_sort(F.collect_list("_v")).alias("_breaks"))
     above = F.size(F.filter("_breaks", lambda x: x < F.col(feature)))
@@ -128,3 +131,18 @@ def regions(elements: DataFrame, spacing: int) -> DataFrame:
     w = Window.partitionBy("chr").orderBy("mid", "id")
     gap = F.col("mid") - F.lag("mid").over(w)
     return elements.withColumn("_new", F.when(gap < spacing, 0).otherwise(1)).withColumn("region", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_new")
+
+
+def quantile_break_bins(elements: DataFrame, column: str, breaks: list[float]) -> DataFrame:
+    """``elements`` with ``fbin``: how many of the value's quantiles at the given fractions lie below it."""
+    cuts = exact_percentiles(elements, column, breaks)
+    return elements.join(F.broadcast(cuts)).withColumn("fbin", F.size(F.filter("cuts", lambda c: c < F.col(column)))).drop("cuts")
+
+
+def bin_features(elements: DataFrame, sums: list[str], means: list[str], least: int = 5) -> DataFrame:
+    """Features of each bin (chr, bin): sums, means and the count; bins with a zero drop out, and chromosomes of fewer than ``least`` bins."""
+    found = elements.groupBy("chr", "bin").agg(*[F.sum(c).alias(f"sum_{c}") for c in sums], *[F.avg(c).alias(f"mean_{c}") for c in means], F.count("*").alias("n"))
+    for c in found.columns[2:]:
+        found = found.where(F.col(c) != 0)
+    enough = found.groupBy("chr").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("chr")
+    return found.join(enough, "chr", "left_semi")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import exact_percentiles
+
 
 def binned_cis(contacts: DataFrame) -> DataFrame:
     """(chr, bin1, bin2, obs): contacts (chr1, bin1, chr2, bin2, n) of one chromosome and different bins."""
@@ -46,8 +48,7 @@ def remove_diagonal(cells: DataFrame, m: int) -> DataFrame:
 def poor_bins(cells: DataFrame, cutoff: float) -> DataFrame:
     """(chr, bin): bins whose total lies below the exact percentile ``cutoff`` of all totals."""
     sums = marginals(cells)
-    cut = sums.agg(F.percentile("total", F.lit(cutoff)).alias("_cut"))
-    return sums.join(F.broadcast(cut)).where(F.col("total") < F.col("_cut")).select("chr", "bin")
+    return sums.join(F.broadcast(exact_percentiles(sums, "total", [cutoff]))).where(F.col("total") < F.col("cuts")[0]).select("chr", "bin")
 
 
 def without_bins(cells: DataFrame, bins: DataFrame) -> DataFrame:
@@ -68,8 +69,8 @@ def standalone_bins(cells: DataFrame, offset: int) -> DataFrame:
 
 def truncate_trans(cells: DataFrame, high: float) -> DataFrame:
     """Trans cells with ``obs`` above the exact percentile 1 - ``high`` brought down to it."""
-    cut = cells.agg(F.percentile("obs", F.lit(1 - high)).alias("_cut"))
-    return cells.join(F.broadcast(cut)).withColumn("obs", F.least(F.col("obs").cast("double"), "_cut")).drop("_cut")
+    cut = exact_percentiles(cells, "obs", [1 - high])
+    return cells.join(F.broadcast(cut)).withColumn("obs", F.least(F.col("obs").cast("double"), F.col("cuts")[0])).drop("cuts")
 
 
 def block_average(cells: DataFrame) -> DataFrame:
@@ -208,3 +209,48 @@ def fragment_weights(contacts: DataFrame, weights: DataFrame) -> DataFrame:
     v = corrected(contacts, weights.select("id", F.col("w").alias("bias")))
     ends = v.select(F.col("id1").alias("id"), "value").unionByName(v.select(F.col("id2").alias("id"), "value"))
     return ends.groupBy("id").agg(F.sum("value").alias("total"))
+
+
+def without_chromosomes(cells: DataFrame, names: list[str]) -> DataFrame:
+    """Cells without any of the chromosomes."""
+    keep = F.lit(True)
+    for c in ("chr", "chr1", "chr2"):
+        if c in cells.columns:
+            keep = keep & ~F.col(c).isin(names)
+    return cells.where(keep)
+
+
+def without_cis(cells: DataFrame) -> DataFrame:
+    return cells.where("chr1 <> chr2")
+
+
+def unsequenced_bins(bases: DataFrame, resolution: int, least_share: float) -> DataFrame:
+    """Bins (with ``bases`` mapped in them) whose mapped share of the resolution is below ``least_share``."""
+    return bases.where(F.col("bases") < least_share * resolution)
+
+
+def possible_by_offset(bins: DataFrame, reach: int) -> DataFrame:
+    """(offset, possible): pairs of elements by the offset of their bins (chr, bin), up to ``reach``.
+
+    From the bins' sizes; pairs within a bin count once.
+    """
+    sizes = bins.groupBy("chr", "bin").agg(F.count("*").alias("k"))
+    ahead = sizes.select("chr", F.col("bin").alias("bin0"), "k", F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("offset"))
+    met = ahead.withColumn("bin", F.col("bin0") + F.col("offset")).join(sizes.withColumnRenamed("k", "k2"), ["chr", "bin"])
+    pairs = F.when(F.col("offset") == 0, F.expr("k * (k - 1) div 2")).otherwise(F.col("k") * F.col("k2"))
+    return met.groupBy(F.col("offset").cast("long").alias("offset")).agg(F.sum(pairs).alias("possible"))
+
+
+def decay_over_possible(contacts: DataFrame, bins: DataFrame, reach: int) -> DataFrame:
+    """(offset, observed, possible, share): contacts over possible pairs by the offset of their bins."""
+    offset = F.abs(F.col("bin2") - F.col("bin1")).cast("long")
+    seen = contacts.where("chr1 = chr2").groupBy(offset.alias("offset")).agg(F.sum("n").alias("observed")).where(F.col("offset") <= reach)
+    joined = possible_by_offset(bins, reach).join(seen, "offset", "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
+    return joined.where("possible > 0").select("offset", "observed", "possible", (F.col("observed") / F.col("possible")).alias("share"))
+
+
+def projected(cells: DataFrame, vector: DataFrame) -> DataFrame:
+    """One row: the product of a vector (id, value) with the matrix (id1, id2, n) and again with the vector, over its squared length."""
+    left = cells.join(vector.select(F.col("id").alias("id1"), F.col("value").alias("a")), "id1").join(vector.select(F.col("id").alias("id2"), F.col("value").alias("b")), "id2")
+    product = left.agg((2 * F.sum(F.col("n") * F.col("a") * F.col("b"))).alias("p"))
+    return product.join(vector.agg(F.sum(F.col("value") * F.col("value")).alias("s"))).select((F.col("p") / F.col("s")).alias("share"))

@@ -105,6 +105,13 @@ def expected_closed_form(sums: DataFrame, reach: int | None = None) -> DataFrame
     return met.select("chr", "bin1", "bin2", (F.col("v1") * F.col("v2")).alias("expected"))
 
 
+def observed_over_expected(cells: DataFrame, sums: DataFrame) -> DataFrame:
+    """Observed cells (chr, bin1, bin2, obs) with ``expected``, the product of their bins' sums; no pair of bins is listed that was not seen."""
+    for k in ("1", "2"):
+        cells = cells.join(sums.select("chr", F.col("bin").alias(f"bin{k}"), F.col("value").alias(f"v{k}")), ["chr", f"bin{k}"])
+    return cells.select("chr", "bin1", "bin2", "obs", (F.col("v1") * F.col("v2")).alias("expected"))
+
+
 def trans_means(contacts: DataFrame, elements: DataFrame) -> DataFrame:
     """(chr1, chr2, mean): contacts between two chromosomes per possible pair of their elements."""
     sizes = elements.groupBy("chr").agg(F.count("*").alias("k"))
@@ -340,3 +347,66 @@ def poisson_regression(rows: DataFrame, count: str, features: list[str]) -> Data
     x = VectorAssembler(inputCols=features, outputCol="_x").transform(rows)
     model = GeneralizedLinearRegression(family="poisson", link="log", featuresCol="_x", labelCol=count, predictionCol="expected", maxIter=25).fit(x)
     return model.transform(x).drop("_x")
+
+
+def ice_by_trans(contacts: DataFrame, passes: int) -> DataFrame:
+    """(id1, id2, n, corrected): all contacts (with chr1, chr2) divided by biases that their trans part is balanced with.
+
+    Elements without trans contacts keep a bias of 1.
+    """
+    bias = ice(contacts.where("chr1 <> chr2").select("id1", "id2", "n"), passes)
+    out = contacts.select("id1", "id2", "n")
+    for k in ("1", "2"):
+        out = out.join(bias.select(F.col("id").alias(f"id{k}"), F.col("bias").alias(f"b{k}")), f"id{k}", "left")
+    size = F.coalesce("b1", F.lit(1.0)) * F.coalesce("b2", F.lit(1.0))
+    return out.select("id1", "id2", "n", (F.col("n") / size).alias("corrected"))
+
+
+def ice_damped(contacts: DataFrame, passes: int, damping: float = 0.6) -> DataFrame:
+    """(id, bias) after so many passes: marginals over their mean, less one, times ``damping``, plus one."""
+    ends = checkpointed(both_ends(contacts))
+    state = ends.select("id").distinct().withColumn("bias", F.lit(1.0))
+    for _ in range(passes):
+        other = state.select(F.col("id").alias("other"), F.col("bias").alias("b2"))
+        sums = ends.join(state, "id").join(other, "other").groupBy("id", "bias").agg(F.sum(F.col("value") / (F.col("bias") * F.col("b2"))).alias("s"))
+        mean = sums.agg(F.avg("s").alias("mean"))
+        step = 1 + damping * (F.col("s") / F.col("mean") - 1)
+        state = checkpointed(sums.join(F.broadcast(mean)).select("id", (F.col("bias") * step).alias("bias")))
+    return state
+
+
+def trans_mean(contacts: DataFrame, elements: DataFrame) -> DataFrame:
+    """One row: trans counts (contacts with chr1, chr2) over the possible trans pairs between strands of elements (chr, strand)."""
+    sizes = elements.groupBy("chr").agg(F.count_if(F.col("strand") == "+").alias("plus"), F.count_if(F.col("strand") != "+").alias("minus"))
+    # Pairs of different strands on different chromosomes: all of them less those within a chromosome.
+    possible = sizes.agg((F.sum("plus") * F.sum("minus") - F.sum(F.col("plus") * F.col("minus"))).alias("possible"))
+    total = contacts.where("chr1 <> chr2").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    return total.join(possible).select("total", "possible", (F.col("total") / F.col("possible")).alias("mean"))
+
+
+def log_normal_fit(contacts: DataFrame, passes: int, rate: float = 0.5) -> DataFrame:
+    """(id, c): corrections under a log-normal model of counts: gradient steps on the squared residuals of
+    ln n - distance line - c1 - c2, each element's step being ``rate`` times its mean residual.
+
+    ``contacts`` are cis pairs with mid1 and mid2; the line is the regression of ln n on ln distance.
+    """
+    rows = contacts.where("mid1 <> mid2").withColumns({"x": F.log(F.abs(F.col("mid2") - F.col("mid1"))), "y": F.log("n")})
+    line = rows.agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
+    left = rows.join(F.broadcast(line)).select("id1", "id2", (F.col("y") - F.col("slope") * F.col("x") - F.col("intercept")).alias("n"))
+    ends = checkpointed(both_ends(left))
+    state = ends.select("id").distinct().withColumn("c", F.lit(0.0))
+    for _ in range(passes):
+        other = state.select(F.col("id").alias("other"), F.col("c").alias("c2"))
+        residual = F.col("value") - F.col("c") - F.col("c2")
+        state = checkpointed(ends.join(state, "id").join(other, "other").groupBy("id", "c").agg(F.avg(residual).alias("r")).select("id", (F.col("c") + rate * F.col("r")).alias("c")))
+    return state
+
+
+def log_normal_likelihood(contacts: DataFrame, state: DataFrame) -> DataFrame:
+    """One row: pairs and the sum of squared residuals that ``log_normal_fit`` lowers."""
+    rows = contacts.where("mid1 <> mid2").withColumns({"x": F.log(F.abs(F.col("mid2") - F.col("mid1"))), "y": F.log("n")})
+    line = rows.agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
+    for k in ("1", "2"):
+        rows = rows.join(state.select(F.col("id").alias(f"id{k}"), F.col("c").alias(f"c{k}")), f"id{k}")
+    residual = F.col("y") - F.col("slope") * F.col("x") - F.col("intercept") - F.col("c1") - F.col("c2")
+    return rows.join(F.broadcast(line)).agg(F.count("*").alias("pairs"), F.sum(residual * residual).alias("squares"))

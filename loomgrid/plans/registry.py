@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,7 +86,8 @@ def degree_coverage(v: Views) -> DataFrame:
     return C.degree(v.contacts())
 
 
-CORE = 110
+#: Partners that leave part of the elements at each size of the tables.
+CORE = 66
 _ROUND = "SELECT * FROM {t} WHERE id1 IN (SELECT id FROM d{k}) AND id2 IN (SELECT id FROM d{k})"
 _DEGREE = f"SELECT id FROM (SELECT id1 AS id FROM {{t}} UNION ALL SELECT id2 FROM {{t}}) GROUP BY id HAVING count(*) >= {CORE}"
 
@@ -510,8 +512,7 @@ def expected_pairwise(v: Views) -> DataFrame:
 @query("cis be", """SELECT c.chr, c.bin1, c.bin2, c.obs, round(c.obs / (a.k * b.k), 8) AS enrichment FROM cis c JOIN (SELECT chr, bin, count(*) AS k FROM be GROUP BY 1, 2) a ON c.chr = a.chr AND c.bin1 = a.bin JOIN (SELECT chr, bin, count(*) AS k FROM be GROUP BY 1, 2) b ON c.chr = b.chr AND c.bin2 = b.bin""")
 def enrichment_cis(v: Views) -> DataFrame:
     sums = Mo.bin_sums(v.binned_elements().withColumn("one", F.lit(1).cast("long")), "one")
-    expected = Mo.expected_closed_form(sums)
-    return M.binned_cis(v.located()).join(expected, ["chr", "bin1", "bin2"]).select("chr", "bin1", "bin2", "obs", F.round(F.col("obs") / F.col("expected"), 8).alias("enrichment"))
+    return Mo.observed_over_expected(M.binned_cis(v.located()), sums).select("chr", "bin1", "bin2", "obs", F.round(F.col("obs") / F.col("expected"), 8).alias("enrichment"))
 
 
 @query("lc elements", """SELECT c1 AS chr1, c2 AS chr2, round(s / greatest(1, a.k * b.k), 8) AS mean FROM (SELECT least(chr1, chr2) AS c1, greatest(chr1, chr2) AS c2, sum(n) AS s FROM lc WHERE chr1 <> chr2 GROUP BY 1, 2)
@@ -743,10 +744,11 @@ def pca_eig(v: Views) -> DataFrame:
 
 @query("", """SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) - 4.1 * l_tax, 4) AS a, (l_orderkey + 3 * l_partkey) % 7 AS b, l_orderkey // 3 AS c, round(power(l_quantity, 2), 4) AS d, -l_suppkey AS e, l_partkey << 2 AS f, l_partkey >> 1 AS g FROM lineitem""")
 def expr_arith(v: Views) -> DataFrame:
-    e = X.evaluate
-    return v.table("lineitem").select(
+    items = v.table("lineitem")
+    e = partial(X.evaluate, rows=items)
+    return items.select(
         "l_orderkey", "l_linenumber", F.round(e("l_extendedprice * (1 - l_discount) - 4.1 * l_tax"), 4).alias("a"), e("(l_orderkey + 3 * l_partkey) % 7").alias("b"),
-        e("l_orderkey div 3").alias("c"), F.round(e("l_quantity ** 2"), 4).alias("d"), e("-l_suppkey").alias("e"), X.shift_left(F.col("l_partkey"), 2).alias("f"), X.shift_right(F.col("l_partkey"), 1).alias("g"),
+        e("l_orderkey / 3").alias("c"), F.round(e("l_quantity ** 2"), 4).alias("d"), e("-l_suppkey").alias("e"), e("l_partkey << 2").alias("f"), e("l_partkey >> 1").alias("g"),
     )
 
 
@@ -773,7 +775,7 @@ def expr_log_exp(v: Views) -> DataFrame:
     e = X.evaluate
     parts = (("log(l_quantity)", 8), ("log1p(l_tax)", 8), ("log10(l_extendedprice)", 8), ("exp(l_tax)", 8), ("expm1(l_discount)", 8), ("sqrt(l_extendedprice)", 6))
     rows = [F.round(e(p), k).alias(n) for (p, k), n in zip(parts, "abcdef", strict=True)]
-    return v.table("lineitem").select("l_orderkey", "l_linenumber", *rows, e("abs(l_tax - 0.04D)").alias("g"), e("fmod(l_extendedprice, 7D)").alias("h"))
+    return v.table("lineitem").select("l_orderkey", "l_linenumber", *rows, e("abs(l_tax - 0.04)").alias("g"), e("fmod(l_extendedprice, 7.0)").alias("h"))
 
 
 @query("", "SELECT p_partkey, contains(p_name, 'a') AS a, p_type = p_name AS b, p_type > p_brand AS c FROM part")

@@ -174,3 +174,45 @@ def score_settings(spark: SparkSession, path: str, names: list[str]) -> DataFram
     for n in names:
         keep = keep | key.contains(n)
     return spark.read.text(path).where(keep).select(key.alias("name"), F.trim(F.regexp_replace(F.trim("value"), r"^\S+\s*", "")).alias("value"))
+
+
+def gff(spark: SparkSession, path: str, feature: str | None = None) -> DataFrame:
+    """(chr, start, end, strand, feature, gene) from GFF or GTF lines, start counted from 0; ``gene`` is the attribute gene_id, gene or ID."""
+    t = tsv(spark, path, "chr string, source string, feature string, start long, end long, score string, strand string, frame string, attributes string")
+    name = F.regexp_extract("attributes", r'(?:gene_id|gene|ID)[ =]"?([^";]+)', 1)
+    out = t.select("chr", (F.col("start") - 1).alias("start"), "end", "strand", "feature", name.alias("gene")).where("start IS NOT NULL AND end IS NOT NULL")
+    return out.where(F.col("feature") == feature) if feature else out
+
+
+def axt(spark: SparkSession, path: str) -> DataFrame:
+    """(number, chr, start, end, chr2, start2, end2, strand2, score, text, text2) of pairwise blocks: a line of fields and two of letters; starts counted from 0."""
+    blocks = spark.read.text(path, lineSep="\n\n").select(F.split(F.trim("value"), "\n").alias("l")).where(F.size("l") >= 3)
+    f = F.split(F.col("l")[0], r"\s+")
+    number = lambda k: F.get(f, F.lit(k)).cast("long")
+    return blocks.select(
+        number(0).alias("number"), F.get(f, F.lit(1)).alias("chr"), (number(2) - 1).alias("start"), number(3).alias("end"), F.get(f, F.lit(4)).alias("chr2"), (number(5) - 1).alias("start2"),
+        number(6).alias("end2"), F.get(f, F.lit(7)).alias("strand2"), F.get(f, F.lit(8)).cast("double").alias("score"), F.col("l")[1].alias("text"), F.col("l")[2].alias("text2"),
+    )
+
+
+def motif_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(motif, letter, at, n) from lines "motif letter n n n ...", one count for each position."""
+    f = F.split(F.trim("value"), r"\s+")
+    lines = spark.read.text(path).where(~F.startswith("value", F.lit("#")) & (F.size(f) > 2))
+    return lines.select(F.get(f, F.lit(0)).alias("motif"), F.get(f, F.lit(1)).alias("letter"), F.posexplode(F.slice(f, F.lit(3), F.size(f) - 2)).alias("at", "n")).withColumn("n", F.col("n").cast("double"))
+
+
+def fasta_to_bed(sequences: DataFrame) -> DataFrame:
+    """(chr, start, end) that cover whole sequences (name, sequence)."""
+    return sequences.select(F.col("name").alias("chr"), F.lit(0).cast("long").alias("start"), F.length("sequence").cast("long").alias("end"))
+
+
+def sam_to_bed(alignments: DataFrame) -> DataFrame:
+    """(chr, start, end, name, strand) of alignments as ``sam`` reads them; starts counted from 0."""
+    strand = F.when(F.col("strand") == 1, "+").otherwise("-")
+    return alignments.select("chr", (F.col("pos") - 1).alias("start"), (F.col("pos") - 1 + F.col("length")).alias("end"), "name", strand.alias("strand"))
+
+
+def renamed_sequences(sequences: DataFrame, names: DataFrame) -> DataFrame:
+    """Sequences under new names (old, new); those without one drop out."""
+    return sequences.join(names.select(F.col("old").alias("name"), "new"), "name").select(F.col("new").alias("name"), "sequence")

@@ -41,15 +41,14 @@ def test_equals_sql(spark, duck, name):
     left, left_names = plain([tuple(r) for r in got.collect()], got.columns)
     right, right_names = plain(want.fetchall(), [d[0] for d in want.description])
     assert left_names == right_names
-    assert len(left) == len(right)
+    assert len(left) == len(right) > 0
     assert left == right
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_others_run(spark, name):
-    # Few elements have partners enough for the core on the smallest tables.
-    assert registry.QUERIES[name](spark, SF).count() > (-1 if name == "kcore_fixpoint" else 0)
+    assert registry.QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):
