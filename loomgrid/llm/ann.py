@@ -11,7 +11,8 @@ query's ``k`` nearest (ties go to the smaller id), so only those are kept beside
 
 Vectors that are null, zero or hold a null or non-finite component take no part, as query or
 candidate; neither do rows with a null id. Vectors of different lengths never meet. Rows repeated
-with their id are one row; rows that share an id but not the vector are candidates each, and none of
+with their id are one row; other columns are not read, and without queries or candidates there are
+no rows. Rows that share an id but not the vector are candidates each, and none of
 them is a neighbour of a query of that id.
 """
 

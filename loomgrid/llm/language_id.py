@@ -4,7 +4,9 @@ Texts are profiles of hashed byte trigrams. Linear support vector machines, each
 first those between families, then those between the languages of the family that won.
 
 Null texts and texts without a letter are "und" with score 0; so are all texts if nothing labelled
-was given. Rows without a language are not learned from.
+was given. Rows without a language are not learned from. Whole texts are judged, however long;
+repeated rows give repeated results. Ties of votes go to the larger margin and then to the later name.
+Of the other columns only those in ``keep`` are handed on. An empty table gives an empty result.
 """
 
 from __future__ import annotations

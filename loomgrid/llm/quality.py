@@ -8,7 +8,11 @@ its words' unit vectors. A network of two layers, trained with numpy on labelled
 the chance of quality 1; a temperature fitted on labelled rows kept out of training calibrates it.
 
 Null and empty texts are documents without words: a zero vector, scored like any other. Without
-labelled rows every score is 0.5. Repeated rows give repeated results.
+labelled rows every score is 0.5. Repeated rows give repeated results. Whole texts are pooled, however
+long; the ids' and texts' columns alone are read. An empty table gives an empty result.
+
+Two features stand beside the pooled vectors: the length of their mean and the share of words that
+follow themselves.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ depend on how rows are dealt to tasks. The vocabulary file is merges in order of
 the rank as 1 / (rank + 2), raised to ``SHARPNESS``.
 
 Null texts have no draws and give no rows; empty texts have one segmentation, of no pieces. Rows that
-repeat a key and its text get equal draws. A null key counts as 0 for the random numbers.
+repeat a key and its text get equal draws. A null key counts as 0 for the random numbers. An empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ Each text's removed runs are then merged, and what is left is handed on.
 Order of places: smaller id first, then earlier start. Rows that repeat an id and its text are one
 document; rows that share an id but differ in text are different documents, ordered by a hash of
 their texts. Rows with a null id stand before all others. Null texts count as empty. Texts shorter
-than a window stay whole.
+than a window stay whole. Other columns are handed on, whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -181,8 +182,8 @@ def _settle(batches):
         yield _batch(rows)
 
 
-def _cut_contexts(shards: int):
-    """From texts and their places: contexts for the shards, and singly named windows for the buckets."""
+def _cut_contexts(shards: int, name_buckets: int):
+    """From texts and their places: contexts for the shards, and singly named windows for buckets of their own."""
 
     def run(batches):
         for b in batches:
@@ -203,7 +204,7 @@ def _cut_contexts(shards: int):
                         w["doc"], w["at"], w["more"] = doc, at, 0
                         named.append(w)
             rows = [(SORT, k, d) for k, d in zip(keys, datas, strict=True)]
-            yield _batch(rows + _dealt(np.concatenate(named) if named else np.zeros(0, ANCHOR), max(1, shards)))
+            yield _batch(rows + _dealt(np.concatenate(named) if named else np.zeros(0, ANCHOR), name_buckets))
 
     return run
 
@@ -277,6 +278,8 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     places = settled.where(f"kind = {SORT}").agg(F.sum(F.octet_length("data"))).first()[0] or 0
     shards = max(1, -(-(places // ANCHOR.itemsize * (2 * WINDOW - CORE)) // SHARD_BYTES))
     m = _tasks(spark, shards)
+    # Singly named windows come from few anchors; they are spread over as many buckets as there are tasks.
+    n = max(m, partitions(spark))
 
     wanted = (
         settled.where(F.col("kind").isin(SORT, NAME))
@@ -284,11 +287,11 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .agg(F.collect_list("kind").alias("kinds"), F.collect_list("data").alias("places"))
     )
     cut = staged(
-        (texts.dropDuplicates(["_doc"]) if repeats else texts).join(wanted, "_doc").select("_doc", F.col("_text").cast("binary"), "kinds", "places").mapInArrow(_cut_contexts(shards), OUT_DDL),
+        (texts.dropDuplicates(["_doc"]) if repeats else texts).join(wanted, "_doc").select("_doc", F.col("_text").cast("binary"), "kinds", "places").mapInArrow(_cut_contexts(shards, n), OUT_DDL),
         "contexts",
     )
     from_shards = cut.where(f"kind = {SORT}").repartition(m, "key").mapInArrow(_sort_shards, OUT_DDL)
-    from_names = cut.where(f"kind = {ANCHORS}").repartition(m, "key").mapInArrow(_settle, OUT_DDL)
+    from_names = cut.where(f"kind = {ANCHORS}").repartition(n, "key").mapInArrow(_settle, OUT_DDL)
     spans = settled.unionByName(cut).unionByName(from_shards).unionByName(from_names).where(f"kind = {SPANS}")
     by_doc = spans.groupBy(F.col("key").alias("_doc")).agg(F.collect_list("data").alias("_parts"))
 
@@ -342,7 +345,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A cut can split a character at either end; bytes that form none any more are left out. Null
     texts stay null.
     """
-    marked = removed_spans(docs, id_col, text_col)
+    named = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("_row"), F.col(id_col).cast("long").alias("row_id"), F.col(text_col).cast("string").alias("row_text"))
+    packed = removed_spans(named, "row_id", "row_text").select("_row", F.col("row_text").alias("_text"), "_spans")
 
     def run(batches):
         for b in batches:
@@ -352,8 +356,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             keep = [k for k, f in enumerate(b.schema.names) if f not in ("_text", "_spans")]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(out, pa.string())], names=[*(b.schema.names[k] for k in keep), "_text"])
 
-    others = [c for c in docs.columns if c != text_col]
-    packed = marked.select(F.struct(*[F.col(c) for c in others]).alias("_row"), F.col(text_col).cast("string").alias("_text"), "_spans")
     schema = packed.select("_row", "_text").schema
     out = packed.mapInArrow(run, schema)
     return out.select(*[F.col("_text").alias(text_col) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns])

@@ -10,7 +10,9 @@ of any length is spread over tasks.
 ``write_token_blocks`` makes such files from texts, kept as a table of blocks (file, block, tokens)
 that any store Spark writes to can hold; ``read_token_files`` cuts raw ``.bin`` files into the same
 blocks. Null and empty texts are documents of zero tokens. Rows that repeat an id are documents of
-their own.
+their own. Texts are encoded whole, however long; an empty table has no files and no rows. Other
+columns are not read. In which file a document lies depends on how rows are dealt to tasks; its
+tokens don't.
 """
 
 from __future__ import annotations

@@ -74,3 +74,26 @@ def test_stages_against_brute_force(spark, tmp_path):
     key = lambda r: (r.doc_id, r.draw, tuple(r.ids))
     assert sorted(map(key, whole)) == sorted(map(key, last))
     assert decontaminate.WORDS == 5
+
+
+def test_odd_rows(spark, tmp_path):
+    folder = str(tmp_path)
+    make_tables(spark, folder)
+    good = "a plain text of some words that nobody else has written down here or anywhere at all"
+    rows = [
+        (1, None, "en", "s", None, 1), (2, "", None, None, 0, 2), (None, good, "en", "s", 5, 3), (4, good + " four", "en", "s", 5, 4), (4, good + " four", "en", "s", 5, 4),
+        (5, " ".join(f"w{k}" for k in range(60_000)), "en", "s", 5, 6), (6, " ".join(f"v{k}" for k in range(90)), "en", "s", 5, 7), (6, " ".join(f"u{k}" for k in range(90)), "en", "s", 5, 8),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _doc long")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, docs.where("false"), folder).count() == 0
+    # The columns clash with names that stages use inside.
+    near = corpus_pipeline.drop_near_duplicates(spark, docs, folder).collect()
+    assert sorted(r._doc for r in near) == [1, 3, 4, 6, 7, 8]
+    cut = corpus_pipeline.cut_repeated_passages(spark, docs, folder)
+    assert cut.columns == docs.columns and cut.count() == len(rows)
+    clean = corpus_pipeline.drop_benchmark_leaks(spark, docs, folder)
+    assert clean.columns == docs.columns and clean.count() == len(rows)
+    assert corpus_pipeline.keep_good_documents(spark, docs, folder).columns == docs.columns
+    drawn = corpus_pipeline.encode_pieces(spark, docs, folder).collect()
+    assert {r.doc_id for r in drawn} == {2, None, 4, 5, 6} and corpus_pipeline.encode_pieces(spark, docs.where("false"), folder).count() == 0

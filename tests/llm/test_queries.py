@@ -31,6 +31,15 @@ COLUMNS = {
 }
 
 
+def test_token_counts_against_the_encoder(spark):
+    from loomgrid.llm import token_files
+
+    encode = token_files._encoding(token_files.VOCABULARY).encode_ordinary
+    texts = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    got = queries.op2_token_counts(spark, SF).collect()
+    assert sorted(map(tuple, got)) == sorted((r.doc_id, len(encode(r.text or ""))) for r in texts)
+
+
 def test_decoding_gives_the_texts_back(spark):
     from pyspark.sql import functions as F
 
