@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .contacts import both_ends, checkpointed
@@ -70,19 +70,28 @@ def distance_regression(contacts: DataFrame) -> DataFrame:
     return fit.select("slope", "intercept", sigma.alias("sigma"), "pairs")
 
 
+def _beside(elements: DataFrame, reach: int) -> tuple[DataFrame, WindowSpec]:
+    """Elements in tiles of ``reach`` with those of both tiles beside, and a window over a tile; ``_own`` marks a tile's own."""
+    home = F.floor(F.col("mid") / reach)
+    tiled = elements.withColumn("_home", home).withColumn("_tile", F.explode(F.array(home - 1, home, home + 1)))
+    return tiled.withColumn("_own", F.col("_tile") == F.col("_home")), Window.partitionBy("chr", "_tile").orderBy("mid")
+
+
 def possible_partners(elements: DataFrame, mindistance: int, maxdistance: int) -> DataFrame:
     """(id, possible): elements of the same chromosome at mindistance <= d < maxdistance, either side."""
-    w = Window.partitionBy("chr").orderBy("mid")
-    right = F.count("*").over(w.rangeBetween(mindistance, maxdistance - 1))
-    left = F.count("*").over(w.rangeBetween(-(maxdistance - 1), -mindistance))
-    own = 1 if mindistance == 0 else 0
-    return elements.select("id", (right + left - 2 * own).alias("possible")) if mindistance else elements.select("id", (F.count("*").over(w.rangeBetween(-(maxdistance - 1), maxdistance - 1)) - 1).alias("possible"))
+    tiled, w = _beside(elements, maxdistance)
+    if mindistance:
+        right = F.count("*").over(w.rangeBetween(mindistance, maxdistance - 1))
+        possible = right + F.count("*").over(w.rangeBetween(-(maxdistance - 1), -mindistance))
+    else:
+        possible = F.count("*").over(w.rangeBetween(-(maxdistance - 1), maxdistance - 1)) - 1
+    return tiled.withColumn("possible", possible).where("_own").select("id", "possible")
 
 
 def weighted_range_sum(elements: DataFrame, weight: str, reach: int) -> DataFrame:
     """(id, weight_sum): the weights of elements of the chromosome within ``reach``."""
-    w = Window.partitionBy("chr").orderBy("mid").rangeBetween(-reach, reach)
-    return elements.select("id", F.sum(weight).over(w).alias("weight_sum"))
+    tiled, w = _beside(elements, reach)
+    return tiled.withColumn("weight_sum", F.sum(weight).over(w.rangeBetween(-reach, reach))).where("_own").select("id", "weight_sum")
 
 
 def bin_sums(elements: DataFrame, value: str = "c") -> DataFrame:

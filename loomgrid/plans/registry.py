@@ -871,43 +871,29 @@ def near_site_filter(v: Views) -> DataFrame:
 ORACLE_SQL["near_site_filter"] = sql("elements", "") + ", " + _SITE_READS.format(reads="reads2") + " SELECT c1, c2, count(*) AS n FROM placed WHERE dist1 >= 400 AND dist2 >= 400 GROUP BY 1, 2"
 
 
-def _weighted_elements(v: Views) -> DataFrame:
-    return v.binned_elements().withColumn("c", F.col("gc") / 997.13)
-
 
 _EXPECTED = """SELECT a.chr, a.bin AS bin1, b.bin AS bin2, a.s * b.s AS e FROM (SELECT chr, bin, sum({w}) AS s FROM be GROUP BY 1, 2) a JOIN (SELECT chr, bin, sum({w}) AS s FROM be GROUP BY 1, 2) b ON a.chr = b.chr AND a.bin < b.bin"""
 
 
-def _signal_sql(weight: str, scaled: bool) -> str:
-    e = "e * sum(o) OVER (PARTITION BY bin2 - bin1) / sum(e) OVER (PARTITION BY bin2 - bin1)" if scaled else "e"
-    return f"""SELECT chr, bin1, bin2, o AS observed, round({e}, 6) AS expected FROM (SELECT x.*, coalesce(CAST(obs AS DOUBLE), 0) AS o FROM ({_EXPECTED.format(w=weight)}) x LEFT JOIN cis USING (chr, bin1, bin2))"""
+def _signal_sql(weight: str) -> str:
+    return f"""SELECT chr, bin1, bin2, o AS observed, round(e, 6) AS expected FROM (SELECT x.*, coalesce(CAST(obs AS DOUBLE), 0) AS o FROM ({_EXPECTED.format(w=weight)}) x LEFT JOIN cis USING (chr, bin1, bin2))"""
 
 
-@query("cis be", _signal_sql("CAST(1 AS DOUBLE)", False))
+@query("cis be", _signal_sql("CAST(1 AS DOUBLE)"))
 def signal_raw(v: Views) -> DataFrame:
-    return Si.cis_signal(v.located(), _weighted_elements(v), "raw").withColumn("expected", r6("expected"))
+    return Si.cis_signal(v.located(), v.weighted_elements(), BIN, "raw").withColumn("expected", r6("expected"))
 
 
-@query("cis be", _signal_sql("gc / 997.13", False))
+@query("cis be", _signal_sql("gc / 997.13"))
 def signal_fend(v: Views) -> DataFrame:
-    return Si.cis_signal(v.located(), _weighted_elements(v), "fend").withColumn("expected", r6("expected"))
-
-
-@query("cis be", _signal_sql("CAST(1 AS DOUBLE)", True))
-def signal_distance(v: Views) -> DataFrame:
-    return Si.cis_signal(v.located(), _weighted_elements(v), "distance").withColumn("expected", r6("expected"))
-
-
-@query("cis be", _signal_sql("gc / 997.13", True))
-def signal_enrichment(v: Views) -> DataFrame:
-    return Si.cis_signal(v.located(), _weighted_elements(v), "enrichment").withColumn("expected", r6("expected"))
+    return Si.cis_signal(v.located(), v.weighted_elements(), BIN, "fend").withColumn("expected", r6("expected"))
 
 
 @query("trans be", """SELECT t.chr1, t.bin1, t.chr2, t.bin2, CAST(obs AS DOUBLE) AS observed, round(m * a.s * b.s, 6) AS expected FROM trans t JOIN (SELECT chr, bin, sum(gc / 997.13) AS s FROM be GROUP BY 1, 2) a ON t.chr1 = a.chr AND t.bin1 = a.bin
     JOIN (SELECT chr, bin, sum(gc / 997.13) AS s FROM be GROUP BY 1, 2) b ON t.chr2 = b.chr AND t.bin2 = b.bin JOIN (SELECT chr1, chr2, o / (x.t * y.t) AS m FROM (SELECT chr1, chr2, sum(obs) AS o FROM trans GROUP BY 1, 2)
     JOIN (SELECT chr, sum(gc / 997.13) AS t FROM be GROUP BY 1) x ON chr1 = x.chr JOIN (SELECT chr, sum(gc / 997.13) AS t FROM be GROUP BY 1) y ON chr2 = y.chr) q ON t.chr1 = q.chr1 AND t.chr2 = q.chr2""")
 def signal_trans(v: Views) -> DataFrame:
-    return Si.trans_signal(v.located(), _weighted_elements(v)).withColumn("expected", r6("expected"))
+    return Si.trans_signal(v.located(), v.weighted_elements()).withColumn("expected", r6("expected"))
 
 
 @query()

@@ -45,6 +45,11 @@ class Views:
     def binned_elements(self, size: int = BIN) -> DataFrame:
         return L.fixed_bins(self.elements(), size)
 
+    def weighted_elements(self) -> DataFrame:
+        """Binned elements with a factor ``c`` and ``pos``, their place from the start of the first bin."""
+        e = self.elements()
+        return self.binned_elements().join(L.bin_start(e, BIN), "chr").withColumn("pos", F.col("mid") - F.col("origin")).withColumn("c", F.col("gc") / 997.13).drop("origin")
+
     def located(self, size: int = BIN) -> DataFrame:
         """Contacts with chr, mid, bin and len of both elements."""
         return C.with_elements(self.contacts(), self.binned_elements(size), ("chr", "mid", "bin", "len"))
