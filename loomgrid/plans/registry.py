@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..functions import alignments as Al
 from ..functions import expressions as X
 from ..functions import sequences as S
-from ..operators import adaptive as A
 from ..operators import contacts as C
 from ..operators import intervals as I
 from ..operators import locate as L
@@ -681,21 +680,6 @@ def smooth_l1(v: Views) -> DataFrame:
     return M.smooth(M.binned_cis(v.located()), 2).withColumn("smoothed", r6("smoothed"))
 
 
-_RADII = """SELECT c.chr, c.bin1, c.bin2, r.radius, CAST(sum(o.obs) AS BIGINT) AS s, count(*) AS k FROM cis c, (SELECT unnest([0, 1, 2]) AS radius) r JOIN (SELECT * FROM cis UNION ALL SELECT chr, bin2, bin1, obs FROM cis) o
-    ON c.chr = o.chr AND greatest(abs(c.bin1 - o.bin1), abs(c.bin2 - o.bin2)) <= r.radius GROUP BY ALL"""
-
-
-@query("cis", f"""SELECT chr, bin1, bin2, CAST(radius AS BIGINT) AS radius, s AS obs, k AS cells FROM (SELECT *, row_number() OVER (PARTITION BY chr, bin1, bin2 ORDER BY CASE WHEN s >= 12 THEN radius ELSE 99 - radius END) AS pick FROM ({_RADII})) WHERE pick = 1""")
-def dynamic_binning(v: Views) -> DataFrame:
-    cells = M.binned_cis(v.located()).withColumn("expected", F.lit(1).cast("long"))
-    return A.dynamic_bins(cells, 12, 2).select("chr", "bin1", "bin2", F.col("radius").cast("long").alias("radius"), "obs", F.col("expected").alias("cells"))
-
-
-@query("cis", f"""SELECT chr, bin1, bin2, round(s / k, 6) AS smoothed FROM (SELECT *, row_number() OVER (PARTITION BY chr, bin1, bin2 ORDER BY CASE WHEN s >= 20 THEN radius ELSE 99 - radius END) AS pick FROM ({_RADII})) WHERE pick = 1""")
-def adaptive_smoothing(v: Views) -> DataFrame:
-    return A.adaptive_smoothing(M.binned_cis(v.located()), 20, 2).withColumn("smoothed", r6("smoothed"))
-
-
 @query("lc", """SELECT dbin, count(*) AS n, round(corr(ln(x), ln(y)), 6) AS r FROM (SELECT bin2 - bin1 AS dbin, x, y FROM (SELECT chr1 AS chr, least(bin1, bin2) AS bin1, greatest(bin1, bin2) AS bin2, sum(n) AS x, count(*) AS y FROM lc WHERE chr1 = chr2 AND bin1 <> bin2 GROUP BY 1, 2, 3)) GROUP BY 1 HAVING corr(ln(x), ln(y)) IS NOT NULL AND count(*) > 20""")
 def corr_by_distance(v: Views) -> DataFrame:
     located = v.located()
