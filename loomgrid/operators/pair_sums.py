@@ -96,12 +96,12 @@ def _closed(m1: Column, m2: Column, g: Column) -> Column:
     return total
 
 
-def pair_sums(elements: DataFrame, offsets: range, levels: int, base: int, cutoffs: list[float], series: Callable[[int, int, int], list[float]], of_pair: Callable[[Column, Column], Column]) -> DataFrame:
+def pair_sums(elements: DataFrame, offsets: range, levels: int, base: int, cutoffs: list[float], series: Callable[[int, int, int], list[float]], of_pair: Callable[[Column, Column], Column], cells: DataFrame | None = None) -> DataFrame:
     """(chr, bin1, bin2, dbin, weight, value): sums of w1 * w2 and of w1 * w2 * f(d) over all pairs at positions pos1 < pos2.
 
     Bins are of size base * 2 ** levels, ``offsets`` (a range without steps) apart. A row is a part of such a pair of bins, so that rows still are to be
     added up. f is given by its ``series`` and, for a pair, by ``of_pair`` of ln d and the distance bin.
-    ``dbin`` counts the cutoffs under the distance.
+    ``dbin`` counts the cutoffs under the distance. With ``cells`` (chr, bin1, bin2) only these pairs of bins are summed.
     """
     spark = elements.sparkSession
     rows = summing_plan(offsets, levels, base, cutoffs, series)
@@ -113,10 +113,22 @@ def pair_sums(elements: DataFrame, offsets: range, levels: int, base: int, cutof
     m = moments(e, base, levels)
     # Parts of pairs of large bins that were not asked for have come along where only the sizes between tell them apart.
     lowest, highest = min(offsets, default=0), max(offsets, default=-1)
-    asked = lambda rows: rows.where((F.col("bin2") - F.col("bin1")).between(lowest, highest))
+
+    def asked(rows: DataFrame) -> DataFrame:
+        rows = rows.where((F.col("bin2") - F.col("bin1")).between(lowest, highest))
+        return rows if cells is None else rows.join(cells.select("chr", "bin1", "bin2"), ["chr", "bin1", "bin2"], "left_semi")
+
     up = lambda b: F.expr(f"shiftright({b}, {levels} - level)")
     left = m.withColumn("odd", F.pmod("bin", F.lit(2)).cast("int")).join(far, ["level", "odd"]).select("level", "chr", F.col("bin").alias("b1"), (F.col("bin") + F.col("offset")).alias("b2"), "dbin", "g", F.col("m").alias("m1"))
-    left = asked(left.withColumns({"bin1": up("b1"), "bin2": up("b2")}))
+    left = left.withColumns({"bin1": up("b1"), "bin2": up("b2")})
+    if cells is None:
+        left = asked(left)
+    else:
+        # Of the largest bins those asked for are looked up, and not all that lie so far apart.
+        named = cells.select(F.lit(levels).alias("level"), "chr", "bin1", "bin2", F.col("bin1").alias("bin"), (F.col("bin2") - F.col("bin1")).alias("offset"), F.pmod("bin1", F.lit(2)).cast("int").alias("odd"))
+        whole = named.join(far, ["level", "odd", "offset"]).join(m, ["level", "chr", "bin"])
+        whole = whole.select("level", "chr", F.col("bin").alias("b1"), F.col("bin2").alias("b2"), "dbin", "g", F.col("m").alias("m1"), "bin1", "bin2")
+        left = whole.unionByName(asked(left.where(F.col("level") < levels)))
     met = left.join(m.select("level", "chr", F.col("bin").alias("b2"), F.col("m").alias("m2")), ["level", "chr", "b2"])
     closed = met.select("chr", "bin1", "bin2", "dbin", (F.col("m1")[0] * F.col("m2")[0]).alias("weight"), _closed(F.col("m1"), F.col("m2"), F.col("g")).alias("value"))
     b = e.withColumn("b", F.floor(F.col("pos") / base))
@@ -176,23 +188,24 @@ def known_lines(lines: DataFrame) -> tuple[list[float], list[tuple[float, float]
     return [math.exp(r["upto"]) for r in rows if r["upto"] is not None], [(r["slope"], r["intercept"]) for r in rows]
 
 
-def expected_cells(elements: DataFrame, size: int, lines: DataFrame | None = None, means: DataFrame | None = None, reach: int | None = None, halvings: int = 4, excluded: DataFrame | None = None) -> DataFrame:
+def expected_cells(elements: DataFrame, size: int, lines: DataFrame | None = None, means: DataFrame | None = None, reach: int | None = None, halvings: int = 4, excluded: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
     """(chr, bin1, bin2, expected): for all pairs of different bins the sum over possible pairs of w1 * w2 * exp(slope * ln d + intercept + mean).
 
     ``elements`` are (chr, pos, w), bins floor(pos / size); ``size`` is a multiple of 2 ** ``halvings``, the times that it is halved for pairs of bins
     that are near or lie across the end of a line. Without ``lines`` distance has no part. ``means`` (chr, mean) adds a
     chromosome's logarithm; ``reach`` leaves out bins that are further apart, ``excluded`` (chr, pos1, pos2, w1, w2) pairs that cannot be seen.
-    Bins without an element have no row.
+    Bins without an element have no row. With ``cells`` (chr, bin1, bin2) it is these that are summed, bin1 = bin2 too, and all of them have a row.
     """
     if lines is not None and size % (1 << halvings):
         raise ValueError(f"bins of {size} cannot be halved {halvings} times")
     bins = elements.select("chr", F.floor(F.col("pos") / size).alias("bin"), "w")
     if lines is None:
-        sums = bins.groupBy("chr", "bin").agg(F.sum("w").alias("v"))
+        sums = bins.groupBy("chr", "bin").agg(F.sum("w").alias("v"), F.sum(F.col("w") * F.col("w")).alias("q"))
         stop = sums.groupBy("chr").agg(F.max("bin").alias("_last"))
         upto = F.col("_last") if reach is None else F.least(F.col("_last"), F.col("bin") + reach)
-        near = sums.join(stop, "chr").where("bin < _last").select("chr", F.col("bin").alias("bin1"), F.explode(F.sequence(F.col("bin") + 1, upto)).alias("bin2"), F.col("v").alias("v1"))
-        parts = near.join(sums.select("chr", F.col("bin").alias("bin2"), F.col("v").alias("v2")), ["chr", "bin2"]).select("chr", "bin1", "bin2", (F.col("v1") * F.col("v2")).alias("value"))
+        near = cells.join(sums.select("chr", F.col("bin").alias("bin1"), F.col("v").alias("v1"), "q"), ["chr", "bin1"]) if cells is not None else sums.join(stop, "chr").where("bin < _last").select("chr", F.col("bin").alias("bin1"), F.explode(F.sequence(F.col("bin") + 1, upto)).alias("bin2"), F.col("v").alias("v1"), "q")
+        product = F.when(F.col("bin1") == F.col("bin2"), (F.col("v1") * F.col("v2") - F.col("q")) / 2).otherwise(F.col("v1") * F.col("v2"))
+        parts = near.join(sums.select("chr", F.col("bin").alias("bin2"), F.col("v").alias("v2")), ["chr", "bin2"]).select("chr", "bin1", "bin2", product.alias("value"))
         of = lambda rows: F.lit(1.0)
     else:
         cutoffs, fitted = known_lines(lines)
@@ -202,8 +215,8 @@ def expected_cells(elements: DataFrame, size: int, lines: DataFrame | None = Non
         def value(ln: Column, dbin: Column) -> Column:
             return F.exp(F.get(slopes, dbin) * ln + F.get(intercepts, dbin))
 
-        apart = range(1, int(min(last, reach if reach is not None else last)) + 1)
-        parts = pair_sums(elements, apart, halvings, size >> halvings, cutoffs, power_series(fitted), value).select("chr", "bin1", "bin2", "value")
+        apart = range(1 if cells is None else 0, int(min(last, reach if reach is not None else last)) + 1)
+        parts = pair_sums(elements, apart, halvings, size >> halvings, cutoffs, power_series(fitted), value, cells).select("chr", "bin1", "bin2", "value")
 
         def of(rows: DataFrame) -> Column:
             d = F.abs(F.col("pos2") - F.col("pos1")).cast("double")
@@ -212,11 +225,13 @@ def expected_cells(elements: DataFrame, size: int, lines: DataFrame | None = Non
     if excluded is not None:
         low, high = F.least("pos1", "pos2"), F.greatest("pos1", "pos2")
         gone = excluded.select("chr", F.floor(low / size).alias("bin1"), F.floor(high / size).alias("bin2"), (-F.col("w1") * F.col("w2") * of(excluded)).alias("value"))
-        parts = parts.unionByName(gone.where("bin1 < bin2" + (f" and bin2 - bin1 <= {reach}" if reach is not None else "")))
-    cells = parts.groupBy("chr", "bin1", "bin2").agg(F.sum("value").alias("expected"))
+        parts = parts.unionByName(gone.where(("bin1 < bin2" if cells is None else "true") + (f" and bin2 - bin1 <= {reach}" if reach is not None else "")))
+    found = parts.groupBy("chr", "bin1", "bin2").agg(F.sum("value").alias("expected"))
+    if cells is not None:
+        found = cells.select("chr", "bin1", "bin2").join(found, ["chr", "bin1", "bin2"], "left").withColumn("expected", F.coalesce("expected", F.lit(0.0)))
     if means is None:
-        return cells
-    return cells.join(means.select("chr", F.col("mean").alias("_mean")), "chr", "left").select("chr", "bin1", "bin2", (F.col("expected") * F.exp(F.coalesce("_mean", F.lit(0.0)))).alias("expected"))
+        return found
+    return found.join(means.select("chr", F.col("mean").alias("_mean")), "chr", "left").select("chr", "bin1", "bin2", (F.col("expected") * F.exp(F.coalesce("_mean", F.lit(0.0)))).alias("expected"))
 
 
 def recentred_pairwise(elements: DataFrame) -> DataFrame:
