@@ -126,11 +126,21 @@ def triangular_pair(b1: Column, b2: Column, n: int) -> Column:
     return low * (n - 1) - F.floor(low * (low - 1) / 2) + high
 
 
-def regions(elements: DataFrame, spacing: int) -> DataFrame:
-    """``elements`` with ``region``: a new one opens where neighbouring mids are ``spacing`` or more apart."""
-    w = Window.partitionBy("chr").orderBy("mid", "id")
+def regions(elements: DataFrame, spacing: int, tile: int = TILE) -> DataFrame:
+    """``elements`` with ``region``: a new one opens where neighbouring mids are ``spacing`` or more apart.
+
+    Regions are numbered within tiles of positions, and on from what the tiles before have: one row a tile.
+    """
+    tiled = elements.withColumn("_tile", F.floor(F.col("mid") / tile))
+    w = Window.partitionBy("chr", "_tile").orderBy("mid", "id")
     gap = F.col("mid") - F.lag("mid").over(w)
-    return elements.withColumn("_new", F.when(gap < spacing, 0).otherwise(1)).withColumn("region", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_new")
+    marked = tiled.withColumn("_new", F.when(gap >= spacing, 1).otherwise(0))
+    ends = marked.groupBy("chr", "_tile").agg(F.min("mid").alias("_first"), F.max("mid").alias("_last"), F.sum("_new").alias("_n"))
+    order = Window.partitionBy("chr").orderBy("_tile")
+    opens = F.when(F.col("_first") - F.lag("_last").over(order) < spacing, 0).otherwise(1)
+    starts = ends.withColumn("_opens", opens).withColumn("_from", F.sum("_opens").over(order) + F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - 1)
+    numbered = marked.withColumn("_in", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.join(starts.select("chr", "_tile", "_from"), ["chr", "_tile"]).select(*elements.columns, (F.col("_from") + F.col("_in")).alias("region"))
 
 
 def quantile_break_bins(elements: DataFrame, column: str, breaks: list[float]) -> DataFrame:

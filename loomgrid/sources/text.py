@@ -52,6 +52,23 @@ def half_fragments_from_bed(spark: SparkSession, path: str) -> DataFrame:
     return halves.withColumn("_p", place).join(F.broadcast(first), "chr").select((F.col("first") + F.col("_p")).alias("id"), "chr", "start", "stop", "mid")
 
 
+def primers_from_bed(spark: SparkSession, path: str, spacing: int = 1_000_000) -> DataFrame:
+    """(id, chr, start, stop, mid, name, strand, region) of primer fragments from a BED file; a region ends where mids are ``spacing`` or more apart.
+
+    Lines with another strand than + or -, or without numbers, are left out. Fragments are numbered by chromosome and place.
+    """
+    from ..operators.locate import regions
+
+    rows = tsv(spark, path, "chr string, start string, stop string, name string, score string, strand string")
+    known = rows.select("chr", F.expr("try_cast(start as bigint)").alias("start"), F.expr("try_cast(stop as bigint)").alias("stop"), "name", "strand").where("start is not null and stop is not null and strand in ('+', '-')")
+    sizes = known.groupBy("chr").agg(F.count("*").alias("k"))
+    # One row a chromosome.
+    first = sizes.withColumn("first", F.coalesce(F.sum("k").over(Window.orderBy("chr").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("chr").orderBy("start", "stop", "name")) - 1
+    placed = known.withColumn("_p", place).join(first, "chr").select((F.col("first") + F.col("_p")).alias("id"), "chr", "start", "stop", F.floor((F.col("start") + F.col("stop")) / 2).alias("mid"), "name", "strand")
+    return regions(placed, spacing)
+
+
 def fend_table(spark: SparkSession, path: str) -> DataFrame:
     """(id, chr, start, stop, mid, features...) from a headed table fend, frag, chr, coord, valid, frag_len, features."""
     rows = spark.read.csv(path, header=True, sep="\t")
