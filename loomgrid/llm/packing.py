@@ -107,7 +107,11 @@ def sweep(is_piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def _swept(events: DataFrame, tasks: int) -> DataFrame:
-    """(part, kind, rank, key, size, seq): matched pieces have ``seq``, what is left open has its rank in the task (else -1)."""
+    """(part, kind, rank, key, size, seq): matched pieces (kind 1) have ``seq``; pieces and slots of gaps (0) left have their rank in the task, else -1.
+
+    A task sums itself up: how many pieces of each size it leaves (kind 2, as rank), and (3) how many slots it leaves, as rank, pieces it matched, as key,
+    and gaps it has, as size. Its gaps come back less what they took (4: key, size).
+    """
 
     def run(batches):
         from pyspark import TaskContext
@@ -115,19 +119,31 @@ def _swept(events: DataFrame, tasks: int) -> DataFrame:
         rows = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
         if rows is None:
             return
-        slots, kind, key, size = (rows.column(c).to_numpy() for c in ("slots", "kind", "key", "size"))
-        kind, key, size = (np.repeat(x, slots) for x in (kind, key, size))
-        gap, piece, lost, left = sweep(kind == 1)
+        slots, kind, key, size, free = (rows.column(c).to_numpy() for c in ("slots", "kind", "key", "size", "free"))
+        row = np.repeat(np.arange(len(slots)), slots)
+        gap, piece, lost, left = sweep(kind[row] == 1)
         out = np.concatenate([piece, lost, left])
         rank = np.concatenate([np.full(len(piece), -1), np.arange(len(lost)), np.arange(len(left))])
-        seq = pa.array(np.concatenate([key[gap], np.zeros(len(lost) + len(left), np.int64)]), mask=np.arange(len(out)) >= len(piece))
-        arrays = [pa.array(np.full(len(out), TaskContext.get().partitionId(), np.int32)), pa.array(kind[out]), pa.array(rank.astype(np.int64)), pa.array(key[out]), pa.array(size[out]), seq]
-        for b in pa.Table.from_arrays(arrays, names=["part", "kind", "rank", "key", "size", "seq"]).to_batches(1 << 16):
-            yield b
+        seq = np.concatenate([key[row][gap], np.zeros(len(lost) + len(left), np.int64)])
+        rest = free - np.bincount(row[gap], weights=size[row][piece], minlength=len(slots)).astype(np.int64)
+        kept = np.flatnonzero((kind == 0) & (rest > 0))
+        sizes, counts = np.unique(size[row][lost], return_counts=True)
+        none, whole = np.zeros(len(sizes), np.int64), np.zeros(len(kept), np.int64)
+        parts = [
+            (kind[row][out], rank, key[row][out], size[row][out], seq, np.arange(len(out)) < len(piece)),
+            (none + 2, counts, none, sizes, none, none > 0),
+            (np.array([3]), np.array([len(left)]), np.array([len(piece)]), np.array([len(kept)]), np.array([0]), np.array([False])),
+            (whole + 4, whole - 1, key[kept], rest[kept], whole, whole > 0),
+        ]
+        kinds, ranks, keys, lengths, seqs, known = (np.concatenate(c) for c in zip(*parts, strict=True))
+        part = np.full(len(kinds), TaskContext.get().partitionId(), np.int32)
+        arrays = [pa.array(part), pa.array(kinds.astype(np.int32)), pa.array(ranks.astype(np.int64)), pa.array(keys.astype(np.int64)), pa.array(lengths.astype(np.int64)), pa.array(seqs.astype(np.int64), mask=~known)]
+        yield from pa.Table.from_arrays(arrays, names=["part", "kind", "rank", "key", "size", "seq"]).to_batches(1 << 16)
 
     order = [F.col("size").desc(), "kind", "key"]
-    dealt = events.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("kind", "key", "size", "slots")
-    return dealt.mapInArrow(run, "part int, kind int, rank long, key long, size long, seq long")
+    # What one task can sweep needs no dealing.
+    dealt = events.coalesce(1) if tasks == 1 else events.repartitionByRange(tasks, *order)
+    return dealt.sortWithinPartitions(*order).select("kind", "key", "size", "slots", "free").mapInArrow(run, "part int, kind int, rank long, key long, size long, seq long")
 
 
 def between_tasks(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
@@ -152,6 +168,21 @@ def between_tasks(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, in
     return found
 
 
+def still_left(left_in: dict[int, dict[int, int]], ranges: list[tuple[int, int, int, int, int]]) -> dict[int, int]:
+    """How many pieces of each size are left when those in ``ranges`` are placed; a task's pieces rank by falling size."""
+    placed: dict[int, int] = {}
+    for part, first, last, _, _ in ranges:
+        placed[part] = placed.get(part, 0) + last - first + 1
+    total: dict[int, int] = {}
+    for part, sizes in left_in.items():
+        for size, n in sorted(sizes.items(), reverse=True):
+            gone = min(n, placed.get(part, 0))
+            placed[part] = placed.get(part, 0) - gone
+            if n > gone:
+                total[size] = total.get(size, 0) + n - gone
+    return total
+
+
 def least_sequences(sizes: dict[int, int], capacity: int) -> int:
     """No packing of so many pieces of these sizes uses fewer sequences: by tokens, and by pieces too large for more to share."""
     bound = -(-sum(size * n for size, n in sizes.items()) // capacity)
@@ -163,7 +194,7 @@ def least_sequences(sizes: dict[int, int], capacity: int) -> int:
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(key, seq, offset) for every row of ``pieces`` (key, length), lengths from 1 to ``capacity``; keys differ.
 
-    Sequences have no holes. Histograms of lengths (``capacity`` rows) and two counts a task are all that the driver sees.
+    Sequences have no holes. A histogram of lengths (``capacity`` rows) and, each round, counts for each task and each size in it are all that the driver sees.
     """
     spark = pieces.sparkSession
     items = pieces.select("key", F.col("length").cast("long").alias("size"))
@@ -174,34 +205,43 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     for upper, lower in zip(bounds, bounds[1:], strict=False):
         left = {s: n for s, n in sizes.items() if lower < s <= upper}
         rest = items.where(F.col("size").between(lower + 1, upper))
+        # Gaps under the smallest piece to come are done.
+        least = min([*left, *(s for s in sizes if s <= lower)], default=capacity)
         while left:
-            largest, smallest, n = max(left), min(left), sum(left.values())
+            largest = max(left)
             slots = F.greatest(F.lit(1), F.floor(F.col("free") / largest)).cast("long")
-            events = rest.select("size", F.lit(1).alias("kind"), "key", F.lit(1).cast("long").alias("slots")).unionByName(
-                gaps.where(F.col("free") >= smallest).select(F.floor(F.col("free") / slots).alias("size"), F.lit(0).alias("kind"), F.col("seq").alias("key"), slots.alias("slots"))
+            events = rest.select("size", F.lit(1).alias("kind"), "key", F.lit(1).cast("long").alias("slots"), F.lit(0).cast("long").alias("free")).unionByName(
+                gaps.where(F.col("free") >= least).select(F.floor(F.col("free") / slots).alias("size"), F.lit(0).alias("kind"), F.col("seq").alias("key"), slots.alias("slots"), "free")
             )
             swept, matched = None, 0
             if n_gaps:
-                swept = staged(_swept(events, max(1, min(partitions(spark), -(-(n + n_gaps) // SWEEP_ROWS)))), "swept")
-                by_part = swept.groupBy("part").agg(F.count_if(F.expr("kind = 1 and rank >= 0")).alias("pieces"), F.count_if(F.expr("kind = 0")).alias("gaps"), F.count_if(F.expr("rank < 0")).alias("matched")).collect()
-                ranges = between_tasks([(r["part"], r["pieces"], r["gaps"]) for r in by_part])
-                matched = sum(r["matched"] for r in by_part) + sum(last - first + 1 for _, first, last, _, _ in ranges)
+                swept = staged(_swept(events, max(1, min(partitions(spark), -(-(sum(left.values()) + n_gaps) // SWEEP_ROWS)))), "swept")
+                left_in, ended, n_left = {}, [], 0
+                # A row a task, and one for each size in it: tasks hold ranges of sizes.
+                for r in swept.where("kind in (2, 3)").select("part", "kind", "rank", "key", "size").collect():
+                    if r["kind"] == 2:
+                        left_in.setdefault(r["part"], {})[r["size"]] = r["rank"]
+                    else:
+                        ended.append((r["part"], r["rank"]))
+                        matched += r["key"]
+                        n_left += r["size"]
+                ranges = between_tasks([(part, sum(left_in.get(part, {}).values()), n_open) for part, n_open in ended])
+                matched += sum(last - first + 1 for _, first, last, _, _ in ranges)
             if not matched:
                 more = least_sequences(left, capacity)
                 gaps = gaps.unionByName(spark.range(opened, opened + more).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("free")))
                 opened, n_gaps = opened + more, n_gaps + more
                 continue
-            tried = swept.where("kind = 1")
+            tried = swept.where("kind = 1").select("key", "size", "seq")
+            gaps, n_gaps = swept.where("kind = 4").select(F.col("key").alias("seq"), F.col("size").alias("free")), n_left
             if ranges:
-                tried = staged(_stitched(swept, ranges), "tried")
-            taken = tried.where("seq is not null").select("key", "size", "seq")
-            done.append(taken)
+                between = staged(_stitched(swept, ranges), "between")
+                tried = swept.where("kind = 1 and rank < 0").select("key", "size", "seq").unionByName(between)
+                took = between.where("seq is not null").select("seq", (-F.col("size")).alias("free"))
+                gaps = staged(gaps.unionByName(took).groupBy("seq").agg(F.sum("free").alias("free")).where("free > 0"), "gaps")
+            done.append(tried.where("seq is not null"))
             rest = tried.where("seq is null").select("key", "size")
-            left = {r["size"]: r["count"] for r in rest.groupBy("size").count().collect()}
-            least = min([*left, *(s for s in sizes if s <= lower)], default=capacity)
-            now = gaps.unionByName(taken.select("seq", (-F.col("size")).alias("free"))).groupBy("seq").agg(F.sum("free").alias("free"))
-            gaps = staged(now.where(F.col("free") >= least), "gaps")
-            n_gaps = gaps.count()
+            left = still_left(left_in, ranges)
     full = items.where(F.col("size") == capacity).select("key", (-1 - F.col("key")).alias("seq"), F.lit(0).cast("long").alias("offset"))
     if not done:
         return full
@@ -213,7 +253,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def _stitched(swept: DataFrame, ranges: list[tuple[int, int, int, int, int]]) -> DataFrame:
-    """(key, size, seq) of all pieces of ``swept``, those matched between tasks too."""
+    """(key, size, seq) of the pieces that ``swept`` left; those matched between tasks have ``seq``."""
     spark = swept.sparkSession
     # Fewer than two ranges for each task.
     table = F.broadcast(spark.createDataFrame(ranges, "part int, first long, last long, gap_part int, total long"))
@@ -223,7 +263,7 @@ def _stitched(swept: DataFrame, ranges: list[tuple[int, int, int, int, int]]) ->
     # A task's ranges follow one another from rank 0.
     covered = F.broadcast(table.groupBy("part").agg(F.max("last").alias("covered")))
     alone = swept.where("kind = 1 and rank >= 0").join(covered, "part", "left").where("covered is null or rank > covered")
-    return swept.where("rank < 0").select("key", "size", "seq").unionByName(met).unionByName(alone.select("key", "size", "seq"))
+    return met.unionByName(alone.select("key", "size", "seq"))
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, vocabulary: str = VOCABULARY, keep_ids: bool = True) -> DataFrame:
