@@ -42,9 +42,8 @@ UNITS = (
     "dollar dollars cent cents euro euros percent degree degrees"
 ).split()
 NUMBER, NAME, UNIT = "0", "1", "2"
-#: A number with its separators (a unit written on to it stands apart), or a word; the mark that ends a sentence goes with a capital after it.
-TOKEN = rf"(?:[.!?:\n]\s?(?=\p{{Lu}}))?(?:\d+(?:[.,]\d+)*(?:(?=(?i:{'|'.join(UNITS)})\b)|[\p{{L}}\p{{N}}]*)|[\p{{L}}\p{{N}}]+)"
-MARKS = ".!?:\n \t\r\f\v"
+#: A number with its separators (a unit written on to it stands apart), or a word.
+TOKEN = rf"\d+(?:[.,]\d+)*(?:(?=(?i:{'|'.join(UNITS)})\b)|[\p{{L}}\p{{N}}]*)|[\p{{L}}\p{{N}}]+"
 
 
 def tokens(text: Column) -> Column:
@@ -53,29 +52,29 @@ def tokens(text: Column) -> Column:
 
 def _own(x: Column) -> Column:
     """A token's word as it stands, in lower case; numbers without separators."""
-    return F.lower(F.translate(F.ltrim(x, F.lit(MARKS)), ".,", ""))
+    return F.lower(F.translate(x, ".,", ""))
 
 
 def _typed(text: Column, found: Column, number: Column, name: Column, unit: Column, literal: Callable[[Column], Column]) -> Column:
     """Each of the tokens ``found`` of a text as one of four kinds.
 
-    A name is a capitalised word that opens no sentence; words all in capitals are words like any
+    A name is a capitalised word, one that opens a sentence too; words all in capitals are words like any
     other. A unit stands behind a number. Most words are in lower case, and most texts without
     figures; these take the short way.
     """
 
-    def capital(x: Column, i: Column) -> Column:
+    def capital(x: Column) -> Column:
         first, second = F.substring(x, 1, 1), F.substring(x, 2, 1)
-        is_name = (i > 0) & (first != F.lower(first)) & (second != F.upper(second))
+        is_name = (first != F.lower(first)) & (second != F.upper(second))
         return F.when(first.between("0", "9"), number).when(is_name, name).otherwise(literal(_own(x)))
 
     def with_figures(x: Column, i: Column) -> Column:
         behind = F.get(found, i - 1)
         is_unit = F.lower(x).isin(*UNITS) & (i > 0) & F.substring(behind, 1, 1).between("0", "9")
         low = F.when(F.substring(x, 1, 1).between("0", "9"), number).when(is_unit, unit).otherwise(literal(x))
-        return F.when(x == F.lower(x), low).when(is_unit, unit).otherwise(capital(x, i))
+        return F.when(x == F.lower(x), low).when(is_unit, unit).otherwise(capital(x))
 
-    plain = F.transform(found, lambda x, i: F.when(x == F.lower(x), literal(x)).otherwise(capital(x, i)))
+    plain = F.transform(found, lambda x: F.when(x == F.lower(x), literal(x)).otherwise(capital(x)))
     return F.when(text.rlike(r"\d"), F.transform(found, with_figures)).otherwise(plain)
 
 
@@ -118,25 +117,34 @@ def benchmark_items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFra
 
 
 def item_keys(items: DataFrame) -> DataFrame:
-    """(item, n, width, at, hash): all windows have their own words as a key, and those with enough literal words their template too."""
+    """(item, n, width, at, hash): all windows have their own words as a key, and those with enough literal words their template too.
+
+    A word that opens a sentence on one side only is a name there and a literal word on the other. So a template is also keyed with each one of
+    its names taken as a word, and each one of its words as a name.
+    """
     placed = items.select("*", F.explode(F.expr("sequence(0, n - width)")).alias("at")).withColumn("w", F.expr("slice(words, at + 1, width)"))
     literal = F.size(F.filter("w", lambda x: ~x["template"].isin(NUMBER, NAME, UNIT)))
 
-    def key(width: int, part: str) -> Column:
+    def key(width: int, part: str, turned: int | None) -> Column:
         def code(k: int) -> Column:
             x = F.get("w", F.lit(k))
-            t = x["template"]
-            return F.when((F.lit(part) == "template") & t.isin(NUMBER, NAME, UNIT), t.cast("long")).otherwise(F.xxhash64(x["own"]))
+            t, own = x["template"], F.xxhash64(x["own"])
+            if part == "own":
+                return own
+            if k == turned:
+                return F.when(t == NAME, own).when(t.isin(NUMBER, UNIT), t.cast("long")).otherwise(F.lit(NAME).cast("long"))
+            return F.when(t.isin(NUMBER, NAME, UNIT), t.cast("long")).otherwise(own)
 
         return F.xxhash64(*map(code, range(width)))
 
-    def by_width(part: str) -> Column:
+    def by_width(part: str, turned: int | None = None) -> Column:
         found = F.lit(None).cast("long")
         for width in range(1, WORDS + 1):
-            found = F.when(F.col("width") == width, key(width, part)).otherwise(found)
+            found = F.when(F.col("width") == width, key(width, part, turned)).otherwise(found)
         return found
 
-    both = F.when(literal >= LITERAL_WORDS, F.array_distinct(F.array(by_width("own"), by_width("template")))).otherwise(F.array(by_width("own")))
+    forms = [by_width("own"), by_width("template"), *(by_width("template", k) for k in range(WORDS))]
+    both = F.when(literal >= LITERAL_WORDS, F.array_distinct(F.array(*forms))).otherwise(F.array(by_width("own")))
     return placed.select("item", "n", "width", "at", F.explode(both).alias("hash"))
 
 
@@ -228,5 +236,6 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """``docs`` without documents that leak an item; of rows that share an id only those whose own text leaks go."""
     bad = staged(leaks(docs, benchmark, id_col, text_col).select("id", "mark").distinct(), "leaky").withColumnsRenamed({"id": "id2", "mark": "mark2"})
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("id2")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("mark2"))
+    # Columns of the two sides, not names, which ``docs`` may have too.
+    on = docs[id_col].cast("long").eqNullSafe(bad["id2"]) & (F.xxhash64(docs[text_col].cast("string")) == bad["mark2"])
     return docs.join(bad, on, "left_anti")

@@ -105,15 +105,26 @@ def test_slots_over_alignments_and_both_ways(spark):
     assert {r.id: r.item_ids for r in decontaminate.leak_report(more, items).collect()} == {1: [3], 2: [2], 3: []}
 
 
+def meets(doc, item):
+    """Whether two windows share a key: their own words, their templates, or templates but for one word that is a name on one side."""
+    if [w for w, _ in doc] == [w for w, _ in item]:
+        return True
+    if min(sum(t not in "012" for _, t in x) for x in (doc, item)) < 2:
+        return False
+    unlike = [(d, i) for (_, d), (w, t) in zip(doc, item, strict=True) if d != t for i in [(w, t)]]
+    if not unlike:
+        return True
+    d, (w, t) = unlike[0]
+    return len(unlike) == 1 and (d == w if t == "1" else t not in "02" and d == "1")
+
+
 def brute_leaks(doc, item):
     """Every alignment's runs, put together from each as the first, longest first; on (own, template) word lists."""
     n, width = len(item), min(5, len(item))
     runs = set()
     for shift in range(-n, len(doc)):
         same = [0 <= k + shift < len(doc) and (doc[k + shift][1] == item[k][1] or doc[k + shift][0] == item[k][0]) for k in range(n)]
-        keyed = {k for k in range(n - width + 1) if all(same[k : k + width]) and (
-            [w for w, _ in doc[k + shift : k + shift + width]] == [w for w, _ in item[k : k + width]]
-            or (sum(t not in "012" for _, t in item[k : k + width]) >= 2 and [t for _, t in doc[k + shift : k + shift + width]] == [t for _, t in item[k : k + width]]))}
+        keyed = {k for k in range(n - width + 1) if all(same[k : k + width]) and meets(doc[k + shift : k + shift + width], item[k : k + width])}
         k = 0
         while keyed and k < n:
             e = k
@@ -155,6 +166,7 @@ def test_templates_against_brute_force(spark, monkeypatch):
         words = [swap.get(w, w) if rng.random() < 0.97 else word() for w in words]
         if rng.random() < 0.5:
             words.insert(rng.randrange(len(words)), word())
+        words = [w.swapcase() if len(w) > 1 and rng.random() < 0.02 else w.capitalize() if rng.random() < 0.04 else w for w in words]
         rows.append((k, " ".join(["so"] + [word() for _ in range(3)] + words + [word() for _ in range(3)])))
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
 
@@ -178,3 +190,26 @@ def test_odd_rows(spark):
     kept = decontaminate.without_leaks(docs, items)
     assert kept.columns == docs.columns and sorted(r.found for r in kept.collect()) == [2, 5]
     assert decontaminate.leak_report(docs.where("false"), items).count() == 0
+
+
+SUMS = "Tom has 12 apples. Mary has 5 apples. How many apples do Tom and Mary have together"
+
+
+def test_names_that_open_sentences(spark):
+    rows = [
+        (1, f"{FILLER}. {SUMS.replace('Tom', 'Bob').replace('Mary', 'Ann').replace('12', '7').replace('5', '9')}"), (2, "Bob has 7 apples"), (3, SUMS.replace("Tom", "Zed").replace("Mary", "Zed")),
+        (4, "Mary said the quick brown fox jumps over the lazy dog"), (5, "The quick brown fox jumps over the lazy dog"), (6, "one quick brown fox jumps over a lazy dog"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, SUMS), (2, "Alice has 3 apples"), (3, "the quick brown fox jumps over the lazy dog"), (4, "The quick brown fox jumps over the lazy dog")], "item_id long, text string")
+    got = {r.id: r.item_ids for r in decontaminate.leak_report(docs, items).collect()}
+    assert got == {1: [1, 2], 2: [2], 3: [2], 4: [3, 4], 5: [3, 4], 6: []}
+
+
+def test_clashing_names(spark):
+    names = ["id", "mark", "id2", "mark2", "found", "item", "place", "hash", "n", "codes", "own", "shift", "width"]
+    docs = spark.createDataFrame([(1, ITEMS[1][1], *names), (2, FILLER, *names)], ["doc_id", "text", *names])
+    items = spark.createDataFrame([(*i, *names[2:]) for i in ITEMS], "item_id long, text string, " + ", ".join(f"{n} string" for n in names[2:]))
+    kept = decontaminate.without_leaks(docs, items)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [2]
+    assert {r.id: r.n_items for r in decontaminate.leak_report(docs, items).collect()} == {1: 1, 2: 0}
