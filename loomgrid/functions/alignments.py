@@ -117,3 +117,74 @@ def extract(sequences: DataFrame, intervals: DataFrame) -> DataFrame:
     met = intervals.join(sequences, intervals.chr == sequences.name)
     part = F.substring("sequence", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
     return met.select("id", F.when(F.col("strand") == "-", reverse_complement(part)).otherwise(part).alias("sequence"))
+
+
+def _first_of(species: str) -> Column:
+    """A block's first component of a species, or null."""
+    return F.get(F.filter("components", lambda c: F.startswith(c["src"], F.lit(species + "."))), F.lit(0))
+
+
+def tile_blocks(blocks: DataFrame, intervals: DataFrame, species: list[str], sequences: DataFrame | None = None, tile: int = 100_000) -> DataFrame:
+    """(id, texts): intervals (id, chr, start, end) of the reference, each covered from end to end by the best block at every position.
+
+    ``blocks`` are (id, score, components); the reference is the component of the first of ``species`` whose source is "species.chr", on its forward strand. At a
+    position the highest score wins, of equal ones the larger block id. ``texts`` has one row for each of ``species``; one that a block lacks is gaps.
+    Where no block lies the reference shows ``sequences`` (name: chr, sequence), or N, and the others gaps. Columns that are gaps in all of ``species``
+    are left out. Blocks and intervals meet in tiles of the reference, and a tile's stretches between block ends are
+    settled there, so that deep or long places are many tasks' work.
+    """
+    ref = _first_of(species[0])
+    based = blocks.select(F.col("id").alias("block"), F.coalesce("score", F.lit(0.0)).alias("score"), "components", ref.alias("ref")).where("ref is not null")
+    spans = based.select("block", "score", F.substring_index("ref.src", ".", -1).alias("chr"), F.col("ref.start").alias("from"), (F.col("ref.start") + F.col("ref.size")).alias("to"))
+    tiles = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / tile), F.floor((F.col(high) - 1) / tile))).alias("_tile")
+    wanted = intervals.where("end > start").select(F.col("id").alias("interval"), "chr", "start", "end", tiles("start", "end"))
+    wanted = wanted.withColumns({"low": F.greatest("start", F.col("_tile") * tile), "high": F.least("end", (F.col("_tile") + 1) * tile)})
+    met = wanted.join(spans.where("to > from").select("block", "score", "chr", "from", "to", tiles("from", "to")), ["chr", "_tile"]).where(F.expr("`from` < high and to > low"))
+    pieces = met.select("interval", "_tile", "block", "score", F.greatest("from", "low").alias("from"), F.least("to", "high").alias("to"))
+    # The stretches between neighbouring ends of blocks in a tile of an interval.
+    edges = wanted.select("interval", "_tile", F.explode(F.array("low", "high")).alias("at")).unionByName(pieces.select("interval", "_tile", F.explode(F.array("from", "to")).alias("at"))).distinct()
+    w = Window.partitionBy("interval", "_tile").orderBy("at")
+    stretches = edges.withColumn("stop", F.lead("at").over(w)).where("stop is not null")
+    best = stretches.join(pieces, ["interval", "_tile"], "left").where(F.expr("block is null or (`from` <= at and to >= stop)"))
+    won = best.groupBy("interval", "_tile", "at", "stop").agg(F.max(F.struct("score", "block")).alias("b")).select("interval", "_tile", "at", "stop", F.col("b.block").alias("block"))
+    every = stretches.join(won, ["interval", "_tile", "at", "stop"], "left")
+    # Neighbouring stretches of one block are one slice.
+    v = Window.partitionBy("interval").orderBy("at")
+    runs = every.withColumn("_new", F.when(F.col("block").eqNullSafe(F.lag("block").over(v)) & F.lag("at").over(v).isNotNull(), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(v.rowsBetween(Window.unboundedPreceding, 0)))
+    slices = runs.groupBy("interval", "_run").agg(F.min("at").alias("at"), F.max("stop").alias("stop"), F.first("block").alias("block"))
+    cut = slices.join(based.select("block", "components", "ref"), "block", "left")
+    letter_at = F.filter(F.sequence(F.lit(1), F.length("ref.text")), lambda i: F.substring(F.col("ref.text"), i, F.lit(1)) != "-")
+    placed = cut.withColumn("_letters", F.when(F.col("block").isNotNull(), letter_at))
+    # Column behind so many letters; gaps before a letter go with it.
+    behind = lambda n: F.when(n <= 0, 0).otherwise(F.get("_letters", (n - 1).cast("int")))
+    low, high = behind(F.col("at") - F.col("ref.start")), behind(F.col("stop") - F.col("ref.start"))
+    placed = placed.withColumns({"_low": low, "_high": high})
+
+    def text_of(name: str) -> Column:
+        own = _first_of(name)["text"]
+        return F.coalesce(F.substring(own, F.col("_low") + 1, F.col("_high") - F.col("_low")), F.repeat(F.lit("-"), F.col("_high") - F.col("_low")))
+
+    placed = placed.withColumn("_texts", F.array(*[text_of(s) for s in species]))
+    full = F.filter(F.sequence(F.lit(1), F.col("_high") - F.col("_low")), lambda i: F.exists("_texts", lambda t: F.substring(t, i, F.lit(1)) != "-"))
+    dense = F.transform("_texts", lambda t: F.array_join(F.transform("_full", lambda i: F.substring(t, i, F.lit(1))), ""))
+    covered = placed.where("block is not null").withColumn("_full", full).select("interval", "at", dense.alias("texts"))
+    bare = placed.where("block is null").select("interval", "at", "stop")
+    length = (F.col("stop") - F.col("at")).cast("int")
+    if sequences is None:
+        shown = bare.withColumn("_ref", F.repeat(F.lit("N"), length))
+    else:
+        shown = bare.join(intervals.select(F.col("id").alias("interval"), "chr"), "interval").join(sequences.select(F.col("name").alias("chr"), "sequence"), "chr", "left")
+        shown = shown.withColumn("_ref", F.coalesce(F.substring(F.col("sequence"), F.col("at").cast("int") + 1, length), F.repeat(F.lit("N"), length)))
+    uncovered = shown.select("interval", "at", F.array(F.col("_ref"), *[F.repeat(F.lit("-"), length) for _ in species[1:]]).alias("texts"))
+    parts = covered.unionByName(uncovered).groupBy("interval").agg(F.array_sort(F.collect_list(F.struct("at", "texts"))).alias("p"))
+    return parts.select(F.col("interval").alias("id"), F.array(*[F.array_join(F.transform("p", lambda x: x["texts"][k]), "") for k in range(len(species))]).alias("texts"))  # noqa: B023
+
+
+def thread_blocks(blocks: DataFrame, species: list[str]) -> DataFrame:
+    """``blocks`` cut down to those that have all of ``species``: their first components in that order, without columns that then are all gaps."""
+    found = [_first_of(s) for s in species]
+    kept = blocks.withColumn("_c", F.array(*found)).where(F.forall("_c", lambda c: c.isNotNull()))
+    columns = F.filter(F.sequence(F.lit(1), F.length(F.col("_c")[0]["text"])), lambda i: F.exists("_c", lambda c: F.substring(c["text"], i, F.lit(1)) != "-"))
+    thin = kept.withColumn("_k", columns)
+    dense = F.transform("_c", lambda c: c.withField("text", F.array_join(F.transform("_k", lambda i: F.substring(c["text"], i, F.lit(1))), "")))
+    return thin.withColumn("components", dense).drop("_c", "_k")
