@@ -76,7 +76,7 @@ def truncate_trans(cells: DataFrame, high: float) -> DataFrame:
 def block_average(cells: DataFrame) -> DataFrame:
     """Cells (chr1, chr2) divided by the mean of their block's cells."""
     means = cells.groupBy("chr1", "chr2").agg(F.avg("obs").alias("_mean"))
-    return cells.join(F.broadcast(means), ["chr1", "chr2"]).withColumn("ratio", F.col("obs") / F.col("_mean")).drop("_mean")
+    return cells.join(means, ["chr1", "chr2"]).withColumn("ratio", F.col("obs") / F.col("_mean")).drop("_mean")
 
 
 def chromosome_pair_means(cells: DataFrame) -> DataFrame:

@@ -128,8 +128,8 @@ def trans_means(contacts: DataFrame, elements: DataFrame) -> DataFrame:
     b = F.when(F.col("chr1") < F.col("chr2"), F.col("chr2")).otherwise(F.col("chr1"))
     total = contacts.where("chr1 <> chr2").groupBy(a.alias("chr1"), b.alias("chr2")).agg(F.sum("n").alias("n"))
     return (
-        total.join(F.broadcast(sizes.select(F.col("chr").alias("chr1"), F.col("k").alias("k1"))), "chr1")
-        .join(F.broadcast(sizes.select(F.col("chr").alias("chr2"), F.col("k").alias("k2"))), "chr2")
+        total.join(sizes.select(F.col("chr").alias("chr1"), F.col("k").alias("k1")), "chr1")
+        .join(sizes.select(F.col("chr").alias("chr2"), F.col("k").alias("k2")), "chr2")
         .select("chr1", "chr2", (F.col("n") / F.greatest(F.lit(1), F.col("k1") * F.col("k2"))).alias("mean"))
     )
 
@@ -146,13 +146,12 @@ def express_pass(ends: DataFrame, state: DataFrame) -> DataFrame:
 
 def express(contacts: DataFrame, passes: int | None = None, least_change: float = 5e-6, most_passes: int = 1000) -> DataFrame:
     """(id, c): element corrections by mean enrichment; for a number of passes or until they settle."""
-    ends = both_ends(contacts)
-    state = ends.select("id").distinct().withColumn("c", F.lit(1.0))
+    ends = checkpointed(both_ends(contacts))
+    state = checkpointed(ends.select("id").distinct().withColumn("c", F.lit(1.0)))
     if passes is not None:
         for _ in range(passes):
-            state = express_pass(ends, state)
+            state = checkpointed(express_pass(ends, state))
         return state
-    ends, state = checkpointed(ends), checkpointed(state)
     for _ in range(most_passes):
         new = checkpointed(express_pass(ends, state))
         change = new.join(state.withColumnRenamed("c", "old"), "id").agg(F.max(F.abs(F.col("c") / F.col("old") - 1))).first()[0]
@@ -179,14 +178,15 @@ def express_log(contacts: DataFrame, expected: DataFrame, passes: int) -> DataFr
 
 def ice(matrix: DataFrame, passes: int) -> DataFrame:
     """(id, bias) by iterative correction of a symmetric matrix (id1, id2, n): rows divided by their sums, repeatedly."""
-    ends = both_ends(matrix)
+    ends = checkpointed(both_ends(matrix))
     state = ends.select("id").distinct().withColumn("bias", F.lit(1.0))
     for _ in range(passes):
         other = state.select(F.col("id").alias("other"), F.col("bias").alias("bias_other"))
         met = ends.join(state, "id").join(other, "other")
         sums = met.groupBy("id").agg(F.sum(F.col("value") / (F.col("bias") * F.col("bias_other"))).alias("s"), F.first("bias").alias("bias"))
+        sums = checkpointed(sums)
         mean = sums.agg(F.avg("s").alias("mean"))
-        state = sums.join(F.broadcast(mean)).select("id", (F.col("bias") * F.col("s") / F.col("mean")).alias("bias"))
+        state = checkpointed(sums.join(F.broadcast(mean)).select("id", (F.col("bias") * F.col("s") / F.col("mean")).alias("bias")))
     return state
 
 
