@@ -48,6 +48,14 @@ def scan_fend_table(v: Views) -> DataFrame:
     return text.fend_table(v.spark, path)
 
 
+@query("elements", """SELECT id, chr, start, stop, mid, name, strand, CAST(sum(opens) OVER (PARTITION BY chr ORDER BY mid, id ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS region FROM (SELECT *, CASE WHEN mid - lag(mid) OVER (PARTITION BY chr ORDER BY mid, id) < 60000 THEN 0 ELSE 1 END AS opens
+    FROM (SELECT row_number() OVER (ORDER BY chr, start, stop, id) - 1 AS id, chr, start, stop, CAST(floor((start + stop) / 2.0) AS BIGINT) AS mid, 'f' || id AS name, CASE WHEN len % 3 = 0 THEN '-' ELSE '+' END AS strand FROM elements WHERE len % 5 <> 0))""")
+def scan_primers(v: Views) -> DataFrame:
+    """Every fifth line has no strand, and is left out."""
+    strand = F.when(F.col("len") % 5 == 0, ".").when(F.col("len") % 3 == 0, "-").otherwise("+")
+    return text.primers_from_bed(v.spark, lines(v, v.elements(), "chr", "start", "stop", F.concat(F.lit("f"), "id"), F.lit(0), strand), 60_000)
+
+
 @query("reads", "SELECT c1, p1, s1, c2, p2, s2, count(*) AS n FROM reads GROUP BY ALL")
 def scan_raw_pairs(v: Views) -> DataFrame:
     sign = lambda c: F.when(F.col(c) == 1, "+").otherwise("-")
