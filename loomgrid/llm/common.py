@@ -21,15 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is missing a folder is chosen here: a temporary one when driver and
-    executors are one process, the warehouse on a cluster.
+    Only a local session, where driver and executors are one process, may do without the setting and gets a temporary folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_loomgrid_shared", None)
     if not found:
-        if spark.sparkContext.master.split("[")[0] == "local":
-            found = "file://" + tempfile.mkdtemp(prefix="loomgrid-")
-        else:
-            found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_loomgrid_stages"
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is not set: the executors share no folder for intermediate tables")
+        found = "file://" + tempfile.mkdtemp(prefix="loomgrid-")
         spark.sparkContext._loomgrid_shared = found
     return found.rstrip("/")
 
