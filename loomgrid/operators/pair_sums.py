@@ -83,17 +83,13 @@ def moments(elements: DataFrame, base: int, levels: int) -> DataFrame:
     return placed.groupBy("level", "chr", "bin").agg(*sums).select("level", "chr", "bin", F.array(*[f"_m{k}" for k in range(ORDER + 1)]).alias("m"))
 
 
-def _closed(m1: Column, m2: Column, g: Column) -> Column:
-    """Sum over all pairs of the series' value, from both bins' moments: (v - u) ** k by the binomial theorem."""
-    total = None
+def _closed() -> Column:
+    """Sum over all pairs of the series g's value, from both bins' moments m1 and m2: (v - u) ** k by the binomial theorem."""
+    parts = []
     for p in range(ORDER + 1):
-        inner = None
-        for q in range(ORDER + 1 - p):
-            term = g[p + q] * F.lit(float((-1) ** p * math.comb(p + q, p))) * m2[q]
-            inner = term if inner is None else inner + term
-        part = m1[p] * inner
-        total = part if total is None else total + part
-    return total
+        inner = " + ".join(f"g[{p + q}] * {(-1) ** p * math.comb(p + q, p)}D * m2[{q}]" for q in range(ORDER + 1 - p))
+        parts.append(f"m1[{p}] * ({inner})")
+    return F.expr(" + ".join(parts))
 
 
 def pair_sums(elements: DataFrame, offsets: range, levels: int, base: int, cutoffs: list[float], series: Callable[[int, int, int], list[float]], of_pair: Callable[[Column, Column], Column], cells: DataFrame | None = None) -> DataFrame:
@@ -130,7 +126,7 @@ def pair_sums(elements: DataFrame, offsets: range, levels: int, base: int, cutof
         whole = whole.select("level", "chr", F.col("bin").alias("b1"), F.col("bin2").alias("b2"), "dbin", "g", F.col("m").alias("m1"), "bin1", "bin2")
         left = whole.unionByName(asked(left.where(F.col("level") < levels)))
     met = left.join(m.select("level", "chr", F.col("bin").alias("b2"), F.col("m").alias("m2")), ["level", "chr", "b2"])
-    closed = met.select("chr", "bin1", "bin2", "dbin", (F.col("m1")[0] * F.col("m2")[0]).alias("weight"), _closed(F.col("m1"), F.col("m2"), F.col("g")).alias("value"))
+    closed = met.select("chr", "bin1", "bin2", "dbin", (F.col("m1")[0] * F.col("m2")[0]).alias("weight"), _closed().alias("value"))
     b = e.withColumn("b", F.floor(F.col("pos") / base))
     one = b.withColumn("odd", F.pmod("b", F.lit(2)).cast("int")).join(near, "odd").select("chr", F.col("b").alias("b1"), (F.col("b") + F.col("offset")).alias("b2"), F.col("pos").alias("pos1"), F.col("w").alias("w1"))
     one = asked(one.withColumns({"bin1": F.shiftright("b1", levels), "bin2": F.shiftright("b2", levels)}))
