@@ -24,8 +24,8 @@ def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies (8): five-word shingles with a Jaccard similarity of 0.8 or more."""
-    return simhash.keep_one_per_class(docs, classes_of=shingle_join.similar_classes)
+    """One document of each class of near copies (8): SimHash fingerprints within two bits, or five-word shingles with a Jaccard similarity of 0.8 or more."""
+    return simhash.keep_one_per_class(docs, classes_of=shingle_join.near_copy_classes)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import byte_texts, connected_components, partitions, runs_of_key, staged
 
 WORDS = 5
@@ -376,3 +377,20 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     low = classes.groupBy("root").agg(F.min("low").alias("component_id"))
     by_fp = classes.select("fp", "root").join(low, "root").select("fp", "component_id")
     return marked.join(by_fp, "fp").select("id", "fp", "component_id")
+
+
+def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp, component_id) of every row of ``docs``: classes by SimHash, joined up where their texts are similar.
+
+    A link is two fingerprints at two or fewer differing bits (``simhash.near_duplicate_classes``), or
+    two sets of shingles that are similar (``similar_classes``), which fingerprints that lie further
+    apart don't show. ``fp`` is the fingerprint, ``component_id`` the smallest id reachable over links
+    of both kinds. Ids name rows, so none may be null or repeated; an empty table gives an empty result.
+    """
+    marked = staged(simhash.near_duplicate_classes(docs, id_col, text_col), "simhash-classes")
+    similar = similar_classes(docs, id_col, text_col).select("id", F.col("component_id").alias("similar_id"))
+    # Classes are named by documents, so a document of two of them links their names.
+    links = marked.join(similar, "id").where("component_id <> similar_id").select(F.col("component_id").alias("a"), F.col("similar_id").alias("b"))
+    roots = connected_components(links).withColumnRenamed("node", "component_id")
+    joined = marked.join(roots, "component_id", "left")
+    return joined.select("id", "fp", F.coalesce("root", "component_id").alias("component_id"))

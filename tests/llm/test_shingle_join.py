@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from loomgrid.llm import shingle_join
+from loomgrid.llm import shingle_join, simhash
 
 
 def brute(rows):
@@ -78,3 +78,19 @@ def test_sketches_never_differ_more_than_sets():
     # Runs of sets that share little are told apart.
     a, b = (np.unique(rng.integers(0, 2**64, 500, dtype=np.uint64)) for _ in range(2))
     assert 9 * shingle_join.Sketches([shingle_join.sketch(h) for h in (a, b)]).differences(0, np.array([1]))[0] > 1000
+
+
+def test_stage_links_by_fingerprints_and_by_similar_sets(spark):
+    tails = [" ".join(f"{name}{k}" for k in range(60)) for name in ("first", "second")]
+    line = "one line again "
+    # 1 and 2 are nearly all one line: equal fingerprints, unlike sets. 2 and 3 have one set, but other counts.
+    rows = [(1, line * 101 + tails[0]), (2, line * 101 + tails[1]), (3, line * 3 + tails[1]), (4, " ".join(f"else{k}" for k in range(60)))]
+    sets = {i: set(shingle_join.shingle_set(t.encode()).tolist()) for i, t in rows}
+    fps = {i: simhash.text_fingerprint(t.encode()) for i, t in rows}
+    alike = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    near = lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2
+    assert [(near(*x), alike(*x)) for x in ((1, 2), (2, 3), (1, 3))] == [(True, False), (False, True), (False, False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.id: (r.fp % (1 << 64), r.component_id) for r in shingle_join.near_copy_classes(docs).collect()}
+    assert got == {1: (fps[1], 1), 2: (fps[2], 1), 3: (fps[3], 1), 4: (fps[4], 4)}
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 4]
