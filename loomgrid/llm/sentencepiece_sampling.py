@@ -3,7 +3,7 @@
 A text's pieces form a lattice: every way to cut it into pieces of the vocabulary is a path, with
 probability in proportion to the product of its pieces' weights. Pieces never reach over the start
 of a word, so the lattice of a text is that of its words in a row; each different word is looked up
-in a byte trie and summed up once for a batch of texts.
+in a byte trie and summed up once for many texts.
 
 The ``k`` paths of largest Gumbel-perturbed log-probability are ``k`` distinct draws without
 replacement. They are found by a best-first (A*) search: the set of paths not drawn yet is split into
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ SEED = 20
 BATCH_CHARS = 600_000
 #: Rows of an Arrow batch that are turned into Python's strings at once.
 SLICE_ROWS = 128
+#: A task's lattices are kept for its next texts until they are of so many words.
+HELD_WORDS = 100_000
 #: Words up to so many bytes are summed up in plain floats, several at once; longer ones in logarithms.
 SHORT_WORD = 64
 
@@ -119,7 +122,8 @@ class Lattices:
         place, length, piece = self._edges(v, stop)
         src = place + word[place]
         dst = src + length
-        order = np.argsort(dst * np.int64(64) + np.maximum(0, 63 - length))
+        # Edges come by ascending length, and by place within one: from the end, few runs are merged and longer edges come first.
+        order = (len(dst) - 1 - np.argsort(dst[::-1], kind="stable")).astype(np.int32)
         self.place, self.length, self.piece, self.src = place[order], length[order], piece[order], src[order]
         dst = dst[order]
         del place, length, piece, src, order, stop
@@ -139,7 +143,7 @@ class Lattices:
         self.upto[np.r_[dst[1:] != dst[:-1], True] if len(dst) else []] = 2.0
 
     def _edges(self, v: Vocabulary, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, length in bytes, piece) of every piece that stands somewhere in the words."""
+        """(place, length in bytes, piece) of every piece that stands somewhere in the words, by ascending length."""
         starts = np.flatnonzero((self.text & 0xC0) != 0x80).astype(np.int32)
         at, state, depth = starts, np.zeros(len(starts), dtype=np.int32), 0
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -162,7 +166,10 @@ class Lattices:
             if len(a):
                 known[a[spans[a] == n]] = True
         rare = starts[~known[starts]]
-        found.append((rare, spans[rare], np.full(len(rare), -1, dtype=np.int32)))
+        for n in range(1, 5):
+            some = rare[spans[rare] == n]
+            found.append((some, np.full(len(some), n, dtype=np.int32), np.full(len(some), -1, dtype=np.int32)))
+        found.sort(key=lambda f: f[1][0] if len(f[1]) else 0)
         return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
 
     def _conditional(self, w: np.ndarray, dst: np.ndarray, word: np.ndarray, size: np.ndarray, nodes: int) -> np.ndarray:
@@ -204,6 +211,14 @@ class Lattices:
                 log_total[node[group[s:e]]] = most + np.log(np.add.reduceat(np.exp(x - np.repeat(most, times)), starts))
         return np.minimum(0.0, log_total[self.src] + w + extra - log_total[dst])
 
+    def append(self, more: Lattices) -> None:
+        """Put the words of ``more`` behind these."""
+        shift = {"first_node": len(self.is_first) - 1, "last_node": len(self.is_first) - 1, "src": len(self.is_first) - 1, "place": len(self.text), "first_edge": len(self.piece)}
+        self.is_first = self.is_first[:-1]
+        for name in ("text", "first_node", "last_node", "place", "length", "piece", "src", "first_edge", "is_first", "log_p", "other", "upto"):
+            new = getattr(more, name)
+            setattr(self, name, np.concatenate([getattr(self, name), new + new.dtype.type(shift[name]) if name in shift else new]))
+
     def walk(self, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(edges, offsets) of random paths back from the nodes to their words' starts, one for each seed."""
         chain = np.flatnonzero(~self.is_first[nodes])
@@ -232,15 +247,21 @@ class Lattices:
 
         A walk lists a word's edges from its end, so callers pass them in reading order.
         """
-        piece = self.piece[edges]
-        if piece.min(initial=0) >= 0:
+        piece = self.piece.take(edges)
+        spelt = np.flatnonzero(piece < 0)
+        if not len(spelt):
             return piece
-        times = np.where(piece >= 0, 1, self.length[edges])
-        out = np.repeat(piece, times)
-        spelt = np.flatnonzero(out < 0)
-        within = np.arange(len(out)) - np.repeat(np.cumsum(times) - times, times)
-        out[spelt] = v.byte_id[self.text[np.repeat(self.place[edges], times)[spelt] + within[spelt]]]
-        return out
+        place, times = self.place[edges[spelt]], self.length[edges[spelt]]
+        more = np.cumsum(times - 1)
+        if more[-1]:
+            each = np.ones(len(piece), dtype=np.int64)
+            each[spelt] = times
+            piece = np.repeat(piece, each)
+            within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            spelt = np.repeat(spelt + more - (times - 1), times) + within
+            place = np.repeat(place, times) + within
+        piece[spelt] = v.byte_id[self.text[place]]
+        return piece
 
 
 def uniform(h: np.ndarray) -> np.ndarray:
@@ -269,7 +290,10 @@ def _truncated(mass: float, bound: float, u: float) -> float:
 
 def _chance(seed: int) -> float:
     """``uniform`` of one number."""
-    return float(uniform(np.array([seed], dtype=np.uint64))[0])
+    h = seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
+    return ((h ^ h >> 31) >> 12) * 2.0**-52 + 2.0**-53
 
 
 class Drawn:
@@ -388,19 +412,43 @@ class Numbered(dict):
             parts = WORD.findall(SPACE + text.replace(" ", SPACE))
         return list(map(self.__getitem__, parts))
 
-    def spelt(self) -> list[bytes]:
+    def spelt(self, start: int = 0) -> list[bytes]:
         one = SPACE.encode()
         # No word holds a space, so all are encoded at once.
-        return [w if w.startswith(one) else one + w for w in " ".join(self).encode().split(b" ")]
+        return [w if w.startswith(one) else one + w for w in " ".join(islice(self, start, None)).encode().split(b" ")]
+
+
+class Words:
+    """The different words of the texts so far, and their lattices."""
+
+    def __init__(self, v: Vocabulary):
+        self.v, self.index = v, Numbered()
+        self.lat: Lattices | None = None
 
+    def of_texts(self, texts: list[str]) -> list[list[int]]:
+        if len(self.index) > HELD_WORDS:
+            self.index, self.lat = Numbered(), None
+        known = len(self.index)
+        words = [self.index.of_text(t) for t in texts]
+        if len(self.index) > known:
+            new = Lattices(self.index.spelt(known), self.v)
+            if self.lat is None:
+                self.lat = new
+            else:
+                self.lat.append(new)
+        return words
 
-def draw_batch(texts: list[str], keys: list[int], v: Vocabulary, samples: int = SAMPLES) -> list[list[tuple[np.ndarray, float, float]]]:
-    """For each text its draws in order: (piece ids, log-probability, log of the chance of inclusion)."""
-    index = Numbered()
-    words = [index.of_text(t) for t in texts]
-    if not index:
+
+def draw_batch(texts: list[str], keys: list[int], v: Vocabulary, samples: int = SAMPLES, seen: Words | None = None) -> list[list[tuple[np.ndarray, float, float]]]:
+    """For each text its draws in order: (piece ids, log-probability, log of the chance of inclusion).
+
+    ``seen`` hands on the lattices of earlier texts' words; it changes no draw.
+    """
+    seen = seen or Words(v)
+    words = seen.of_texts(texts)
+    if not any(words):
         return [[(np.zeros(0, dtype=np.int32), 0.0, 0.0)] for _ in texts]
-    lat = Lattices(index.spelt(), v)
+    lat = seen.lat
     flat = lat.last_node[np.array([w for some in words for w in some], dtype=np.int64)]
     counts = np.array([len(some) for some in words])
     first = np.cumsum(counts) - counts
@@ -455,14 +503,14 @@ def encode_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs.sparkSession.sparkContext.addFile(vocabulary)
     name = vocabulary.rsplit("/", 1)[-1]
 
-    def drawn(rows: list[tuple[int | None, str]], v: Vocabulary) -> pa.RecordBatch:
-        every = draw_batch([t for _, t in rows], [k or 0 for k, _ in rows], v, samples)
+    def drawn(rows: list[tuple[int | None, str]], seen: Words) -> pa.RecordBatch:
+        every = draw_batch([t for _, t in rows], [k or 0 for k, _ in rows], seen.v, samples, seen)
         flat = [(k, d + 1, *x) for (k, _), draws in zip(rows, every, strict=True) for d, x in enumerate(draws)]
         types = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64())
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in flat], t) for c, t in enumerate(types)], names=["id", "draw", "ids", "log_prob", "log_inclusion"])
 
     def run(batches):
-        v = _vocabulary(SparkFiles.get(name))
+        seen = Words(_vocabulary(SparkFiles.get(name)))
         for b in batches:
             held: list[tuple[int | None, str]] = []
             size = 0
@@ -472,12 +520,12 @@ def encode_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     if text is None:
                         continue
                     if held and size + len(text) > BATCH_CHARS:
-                        yield drawn(held, v)
+                        yield drawn(held, seen)
                         held, size = [], 0
                     held.append((key, text))
                     size += len(text)
             if held:
-                yield drawn(held, v)
+                yield drawn(held, seen)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, draw int, ids array<int>, log_prob double, log_inclusion double")

@@ -82,3 +82,24 @@ def test_round_trip_and_odd_rows(spark, vocabulary):
     again = {(r.id, r.draw, tuple(r.ids)) for r in sp.encode_samples(docs.repartition(1), samples=3).collect()}
     assert again == {(r.id, r.draw, tuple(r.ids)) for r in got}
     assert sp.encode_samples(docs.where("false")).count() == 0
+
+
+def test_words_held_over_texts_change_no_draw(vocabulary, monkeypatch):
+    monkeypatch.setattr(sp, "HELD_WORDS", 12)
+    texts = ["the quick brown fox", "", "the slow fox é①​ 日本語", "  two  ▁spaces \n", "one brown fox over one fence and on", "日本語 \U0001f680\U0001f600z the quick fox"]
+    seen, built = sp.Words(vocabulary), []
+    lattices = sp.Lattices
+    monkeypatch.setattr(sp, "Lattices", lambda words, v: built.extend(words) or lattices(words, v))
+    got = [sp.draw_batch([t], [k], vocabulary, 3, seen)[0] for k, t in enumerate(texts)]
+    # Words of earlier texts are not looked up again until too many are held.
+    assert built.count("▁fox".encode()) == 2 and len(seen.index) < 12
+    for k, t in enumerate(texts):
+        alone = sp.draw_batch([t], [k], vocabulary, 3)[0]
+        assert len(got[k]) == len(alone)
+        for (a, p, x), (b, q, y) in zip(got[k], alone, strict=True):
+            assert a.tolist() == b.tolist() and np.allclose([p, x], [q, y]) and sp.decode(a, vocabulary) == t.replace("▁", " ")
+
+
+def test_chance_is_uniform_of_one_number():
+    seeds = [0, 1, 2**64 - 1, *(sp._seed(k) for k in range(50))]
+    assert [sp._chance(s) for s in seeds] == sp.uniform(np.array(seeds, dtype=np.uint64)).tolist()
