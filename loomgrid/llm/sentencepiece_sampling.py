@@ -44,6 +44,10 @@ BATCH_CHARS = 600_000
 SLICE_ROWS = 128
 #: A task's lattices are kept for its next texts until they are of so many words.
 HELD_WORDS = 100_000
+#: New words whose lattices are made at once.
+NEW_WORDS = 8192
+#: Places of the trie's table that are tried at once for a state.
+LAID_AT_ONCE = 1024
 #: Words up to so many bytes are summed up in plain floats, several at once; longer ones in logarithms.
 SHORT_WORD = 64
 
@@ -90,12 +94,43 @@ class Vocabulary:
                     ends.append(-1)
                 at = children[at][c]
             ends[at] = k
-        #: Next state for state * 256 + byte, 0 where there is none.
-        self.trie = np.zeros(len(children) * 256, dtype=np.int32)
+        self._lay(children, np.array(ends, dtype=np.int32))
+
+    def _lay(self, children: list[dict[int, int]], ends: np.ndarray) -> None:
+        """The trie's states with their 256 places each laid over one another, so that they take little more room than there are states.
+
+        State ``s`` goes on by byte ``c`` to state ``base[s] + c``, if the ``parent`` of that is ``s``. Piece ``ends[s]`` ends in it, -1: none.
+        """
+        states = len(children)
+        begin, place = np.zeros(states, dtype=np.int32), np.zeros(states, dtype=np.int32)
+        # The root has place 0, all others places from 256 on.
+        free = np.ones(states + 256 + LAID_AT_ONCE, dtype=bool)
+        free[:256] = False
+        start = 256
+        for at in sorted((k for k in range(states) if len(children[k]) > 1), key=lambda k: -len(children[k])):
+            taken = np.fromiter(children[at], dtype=np.int64)
+            least = int(taken.min())
+            while True:
+                if start + 256 + LAID_AT_ONCE > len(free):
+                    free = np.r_[free, np.ones(len(free), dtype=bool)]
+                fits = np.logical_and.reduce([free[start + c - least : start + c - least + LAID_AT_ONCE] for c in taken.tolist()])
+                if fits.any():
+                    break
+                start += LAID_AT_ONCE
+            begin[at] = start + int(fits.argmax()) - least
+            free[begin[at] + taken] = False
+            place[list(children[at].values())] = begin[at] + taken
+        # States with one child fill the gaps.
+        ones = [(at, *x) for at, some in enumerate(children) if len(some) == 1 for x in some.items()]
+        at, c, to = np.array(ones, dtype=np.int64).reshape(-1, 3).T
+        place[to] = np.flatnonzero(np.r_[free, np.ones(len(ones), dtype=bool)])[: len(ones)]
+        begin[at] = place[to] - c
+        size = int(begin.max()) + 256
+        self.base, self.parent = np.zeros(size, dtype=np.int32), np.full(size, -1, dtype=np.int32)
+        self.ends = np.full(size, -1, dtype=np.int32)
+        self.base[place], self.ends[place] = begin, ends
         for at, some in enumerate(children):
-            for c, to in some.items():
-                self.trie[at * 256 + c] = to
-        self.ends = np.array(ends, dtype=np.int32)
+            self.parent[place[list(some.values())]] = place[at]
 
 
 @lru_cache(maxsize=2)
@@ -141,6 +176,8 @@ class Lattices:
         begins = self.first_edge[dst]
         self.upto = (run - np.where(begins > 0, run[begins - 1], 0.0)).astype(np.float32)
         self.upto[np.r_[dst[1:] != dst[:-1], True] if len(dst) else []] = 2.0
+        #: Arrays with room for more words, of which those above are the parts in use.
+        self.room: dict[str, np.ndarray] = {}
 
     def _edges(self, v: Vocabulary, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place, length in bytes, piece) of every piece that stands somewhere in the words, by ascending length."""
@@ -148,9 +185,9 @@ class Lattices:
         at, state, depth = starts, np.zeros(len(starts), dtype=np.int32), 0
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(at):
-            state = v.trie.take((state << 8) | self.text.take(at + depth))
-            live = np.flatnonzero(state)
-            at, state = at.take(live), state.take(live)
+            to = v.base.take(state) + self.text.take(at + depth)
+            live = np.flatnonzero(v.parent.take(to) == state)
+            at, state = at.take(live), to.take(live)
             depth += 1
             end = v.ends.take(state)
             hit = np.flatnonzero(end >= 0)
@@ -216,8 +253,14 @@ class Lattices:
         shift = {"first_node": len(self.is_first) - 1, "last_node": len(self.is_first) - 1, "src": len(self.is_first) - 1, "place": len(self.text), "first_edge": len(self.piece)}
         self.is_first = self.is_first[:-1]
         for name in ("text", "first_node", "last_node", "place", "length", "piece", "src", "first_edge", "is_first", "log_p", "other", "upto"):
-            new = getattr(more, name)
-            setattr(self, name, np.concatenate([getattr(self, name), new + new.dtype.type(shift[name]) if name in shift else new]))
+            old, new = getattr(self, name), getattr(more, name)
+            n = len(old) + len(new)
+            if len(self.room.get(name, ())) < n:
+                # Doubled, so that few arrays are left behind on the way.
+                self.room[name] = np.empty(max(n, 2 * len(old)), dtype=old.dtype)
+                self.room[name][: len(old)] = old
+            np.add(new, new.dtype.type(shift.get(name, 0)), out=self.room[name][len(old) : n])
+            setattr(self, name, self.room[name][:n])
 
     def walk(self, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(edges, offsets) of random paths back from the nodes to their words' starts, one for each seed."""
@@ -412,10 +455,10 @@ class Numbered(dict):
             parts = WORD.findall(SPACE + text.replace(" ", SPACE))
         return list(map(self.__getitem__, parts))
 
-    def spelt(self, start: int = 0) -> list[bytes]:
+    def spelt(self, start: int = 0, stop: int | None = None) -> list[bytes]:
         one = SPACE.encode()
         # No word holds a space, so all are encoded at once.
-        return [w if w.startswith(one) else one + w for w in " ".join(islice(self, start, None)).encode().split(b" ")]
+        return [w if w.startswith(one) else one + w for w in " ".join(islice(self, start, stop)).encode().split(b" ")]
 
 
 class Words:
@@ -430,8 +473,8 @@ class Words:
             self.index, self.lat = Numbered(), None
         known = len(self.index)
         words = [self.index.of_text(t) for t in texts]
-        if len(self.index) > known:
-            new = Lattices(self.index.spelt(known), self.v)
+        for start in range(known, len(self.index), NEW_WORDS):
+            new = Lattices(self.index.spelt(start, start + NEW_WORDS), self.v)
             if self.lat is None:
                 self.lat = new
             else:

@@ -103,3 +103,31 @@ def test_words_held_over_texts_change_no_draw(vocabulary, monkeypatch):
 def test_chance_is_uniform_of_one_number():
     seeds = [0, 1, 2**64 - 1, *(sp._seed(k) for k in range(50))]
     assert [sp._chance(s) for s in seeds] == sp.uniform(np.array(seeds, dtype=np.uint64)).tolist()
+
+
+def test_trie_is_small_and_holds_the_pieces_alone(vocabulary):
+    # As many numbers as states and a little more, where 256 for each state took 54 MB in every worker.
+    assert sum(x.nbytes for x in vars(vocabulary).values() if isinstance(x, np.ndarray)) < 4 << 20
+    spelt = {}
+    for state in range(len(vocabulary.parent)):
+        path, at = [], state
+        while vocabulary.parent[at] >= 0:
+            path.append(at - int(vocabulary.base[vocabulary.parent[at]]))
+            at = int(vocabulary.parent[at])
+        if at == 0 and vocabulary.ends[state] >= 0:
+            spelt[bytes(path[::-1])] = int(vocabulary.ends[state])
+    want = {x.replace(b" ", sp.SPACE.encode()): k for k, x in enumerate(vocabulary.bytes) if x}
+    bytewise = {k for k in vocabulary.byte_id.tolist() if k}
+    assert spelt == {x: k for x, k in want.items() if k not in bytewise}
+
+
+def test_words_made_in_slices_are_those_made_at_once(vocabulary, monkeypatch):
+    monkeypatch.setattr(sp, "NEW_WORDS", 2)
+    seen = sp.Words(vocabulary)
+    text = "the quick brown fox é①​ 日本語 the fence and on"
+    seen.of_texts([text])
+    seen.of_texts(["a few more words"])
+    whole = sp.Lattices(seen.index.spelt(), vocabulary)
+    for name in ("text", "first_node", "last_node", "place", "length", "piece", "src", "first_edge", "is_first"):
+        assert getattr(seen.lat, name).tolist() == getattr(whole, name).tolist(), name
+    assert np.allclose(seen.lat.log_p, whole.log_p) and np.allclose(seen.lat.upto, whole.upto, atol=1e-6) and np.allclose(seen.lat.other, whole.other, atol=1e-6)
