@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from .sequences import letters, reverse_complement
 
@@ -184,7 +187,22 @@ def thread_blocks(blocks: DataFrame, species: list[str]) -> DataFrame:
     """``blocks`` cut down to those that have all of ``species``: their first components in that order, without columns that then are all gaps."""
     found = [_first_of(s) for s in species]
     kept = blocks.withColumn("_c", F.array(*found)).where(F.forall("_c", lambda c: c.isNotNull()))
-    columns = F.filter(F.sequence(F.lit(1), F.length(F.col("_c")[0]["text"])), lambda i: F.exists("_c", lambda c: F.substring(c["text"], i, F.lit(1)) != "-"))
-    thin = kept.withColumn("_k", columns)
-    dense = F.transform("_c", lambda c: c.withField("text", F.array_join(F.transform("_k", lambda i: F.substring(c["text"], i, F.lit(1))), "")))
-    return thin.withColumn("components", dense).drop("_c", "_k")
+    dense = F.transform("_c", lambda c, i: c.withField("text", F.get("_texts", i)))
+    return kept.withColumn("_texts", _used_columns(F.transform("_c", lambda c: c["text"]))).withColumn("components", dense).drop("_c", "_texts")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _used_columns(rows: pd.Series) -> pd.Series:
+    """Texts of the same columns without those in which all have a gap. As wide as the first, all null if that is; another null has gaps only, and stays null."""
+    sizes = np.array([len(texts[0] or "") for texts in rows], dtype=np.int64)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    species = len(rows.iloc[0]) if len(rows) else 0
+    # Letters of all rows laid end to end, one array for each species; nothing stands for what a shorter text lacks.
+    every = [np.frombuffer("".join("-" * n if t[k] is None else t[k][:n].ljust(n, "\0") for t, n in zip(rows, sizes, strict=True)).encode("utf-32-le"), dtype="<u4") for k in range(species)]
+    used = np.zeros(bounds[-1], dtype=bool)
+    for letters_ in every:
+        used |= letters_ != ord("-")
+    ends = np.concatenate([[0], np.cumsum(used)])[bounds]
+    thin = [letters_[used].tobytes().decode("utf-32-le") for letters_ in every]
+    out = [[None if t[0] is None or t[k] is None else thin[k][a:b].replace("\0", "") for k in range(species)] for t, a, b in zip(rows, ends[:-1], ends[1:], strict=True)]
+    return pd.Series(out, index=rows.index, dtype=object)

@@ -4,6 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from loomgrid.functions import alignments as Al
 from loomgrid.operators import matrix as M
 
 
@@ -12,3 +13,13 @@ def test_correlation_without_spread(spark):
     a = spark.createDataFrame([("a", k, k + d, k + 1 if d == 1 else 5) for k in range(4) for d in (1, 2)], "chr string, bin1 long, bin2 long, obs long")
     got = {r.dbin: r for r in M.correlation_by_distance(a, a, F.col("bin2") - F.col("bin1")).collect()}
     assert got[1].n == got[2].n == 4 and math.isclose(got[1].r, 1.0) and math.isnan(got[2].r)
+
+
+def test_threaded_blocks(spark):
+    """Whatever the texts hold: letters of several bytes, gaps in all, shorter and missing ones."""
+    component = "struct<src:string,start:bigint,size:bigint,strand:string,src_size:bigint,text:string>"
+    texts = [("A--C", "G--T"), ("", ""), ("é-\U0001f600-", "--x-"), ("A-C", "T-"), ("--", None), ("-A", "--")]
+    rows = [(k, [("o.c", 0, 1, "+", 9, "N"), ("a.c", 0, 1, "+", 9, a), ("b.c", 0, 1, "+", 9, b)]) for k, (a, b) in enumerate(texts)]
+    df = spark.createDataFrame([*rows, (9, [("a.c", 0, 1, "+", 9, "A")])], f"id long, components array<{component}>")
+    got = {r.id: tuple(c.text for c in r.components) for r in Al.thread_blocks(df, ["b", "a"]).collect()}
+    assert got == {0: ("GT", "AC"), 1: ("", ""), 2: ("-x", "é\U0001f600"), 3: ("T", "A"), 4: (None, None), 5: ("-", "A")}
