@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from loomgrid.functions import alignments as Al
+from loomgrid.operators import bipartite as B
 from loomgrid.operators import matrix as M
 
 
@@ -15,6 +16,18 @@ def test_correlation_without_spread(spark):
     assert got[1].n == got[2].n == 4 and math.isclose(got[1].r, 1.0) and math.isnan(got[2].r)
 
 
+def test_whole_steps(spark):
+    """Steps that are taken whole are taken past the least cost too."""
+    met = spark.createDataFrame([(1, 2, 2, "a", 0, 0, 10)], "id1 long, id2 long, n long, chr string, region int, mid1 long, mid2 long")
+    line = {"slope": 0.0, "intercept": 0.0, "sigma": 0.03}
+    found, costs = B.fit_corrections(met, line, 2, 0.0, step=0.002, whole=True)
+    # Both ends are as far off; no mass is left around the count, so that the square stands for it.
+    c = 0.0
+    for _ in range(2):
+        c -= 0.002 * (max(B.LOWEST, 2 * c) - math.log(2)) / 0.03**2
+    assert all(math.isclose(r.c, c, rel_tol=1e-9) for r in found.collect()) and len(costs) == 3 and costs[1] > costs[0]
+
+
 def test_threaded_blocks(spark):
     """Whatever the texts hold: letters of several bytes, gaps in all, shorter and missing ones."""
     component = "struct<src:string,start:bigint,size:bigint,strand:string,src_size:bigint,text:string>"
