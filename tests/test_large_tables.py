@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomgrid.functions import alignments as Al
 from loomgrid.operators import bipartite as B
 from loomgrid.operators import matrix as M
+from loomgrid.operators import random as R
 
 
 def test_correlation_without_spread(spark):
@@ -28,6 +29,15 @@ def test_whole_steps(spark):
     assert all(math.isclose(r.c, c, rel_tol=1e-9) for r in found.collect()) and len(costs) == 3 and costs[1] > costs[0]
 
 
+def test_overlaps_past_a_long(spark):
+    """Overlaps of a sample whose square no long holds."""
+    rows = spark.createDataFrame([("a", 0, 4_000_000_000, k) for k in range(2)], "chr string, start long, end long, id long")
+    features = spark.createDataFrame([("a", 0, 10_000_000_000)], "chr string, start long, end long")
+    lengths = spark.createDataFrame([("a", 10_000_000_000)], "chr string, length long")
+    got = R.overlap_z_score(rows, features, lengths, features.where("false"), 3, 1).first()
+    assert got.observed == 8_000_000_000 and got.mean == 8e9 and got.deviation == 0
+
+
 def test_threaded_blocks(spark):
     """Whatever the texts hold: letters of several bytes, gaps in all, shorter and missing ones."""
     component = "struct<src:string,start:bigint,size:bigint,strand:string,src_size:bigint,text:string>"
