@@ -57,6 +57,19 @@ def _intervals(spark, seed, n):
     return rows, spark.createDataFrame(rows, "chr string, start long, end long, id long")
 
 
+@pytest.mark.parametrize("mincols", [1, 4])
+def test_matched_rows_by_islands(spark, mincols):
+    """Sides of an outer join against all pairs; those matched come from far fewer rows than there are pairs."""
+    (a, left), (b, right) = _intervals(spark, 1, 90), _intervals(spark, 2, 2000)
+    pairs = {(x[3], y[3]) for x in a for y in b if x[0] == y[0] and min(x[2], y[2]) - max(x[1], y[1]) >= mincols}
+    want = pairs | {(x[3], None) for x in a if x[3] not in {p for p, _ in pairs}} | {(None, y[3]) for y in b if y[3] not in {p for _, p in pairs}}
+    joined = I.outer_join(left, right, mincols, tile=32)
+    got = [(r.id, r.id2) for r in joined.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    counted = I.meeting(left, right, mincols, tile=32)
+    assert counted.count() < 3 * len(a) < len(pairs) / 5
+
+
 @pytest.mark.parametrize("direction", ["before", "after"])
 def test_nearest_of_many(spark, direction):
     """The nearest of targets that lie close, with ties; what a query meets does not grow with the targets that are near."""
