@@ -89,3 +89,43 @@ def test_sparse_bins_are_not_halved(spark):
     spread = spark.range(300).select(F.lit("a").alias("chr"), (F.col("id") * 1000).alias("pos"), F.lit(1.0).alias("w"))
     crowd = spark.range(300).select(F.lit("b").alias("chr"), (F.col("id") + 5000).alias("pos"), F.lit(1.0).alias("w"))
     assert P._halvings(spread, 250, 9) == 4 and P._halvings(spread.unionByName(crowd), 250, 9) == 9
+
+
+@pytest.mark.parametrize("reach", [None, 4])
+def test_pairs_of_bins_in_blocks(spark, reach):
+    rng = random.Random(5)
+    bins = [(c, b, float(b)) for c in "ab" for b in rng.sample(range(25), 15)]
+    cells = {(c, x, y): k for k, (c, x, y) in enumerate((c, x, y) for c, x, _ in bins for d, y, _ in bins if c == d and x < y and rng.random() < 0.3)}
+    want = {(c, x, y, v, w, cells.get((c, x, y))) for c, x, v in bins for d, y, w in bins if c == d and x < y and (reach is None or y - x <= reach)}
+    seen = spark.createDataFrame([(*k, n) for k, n in cells.items()], "chr string, bin1 long, bin2 long, obs long")
+    rows = spark.createDataFrame(bins, "chr string, bin long, v double")
+    assert {tuple(r) for r in P.pairs_of_bins(rows, "v", reach, seen, block=4).collect()} == want
+    assert {tuple(r) for r in P.pairs_of_bins(rows, "v", reach, block=4).collect()} == {r[:5] for r in want}
+
+
+@pytest.mark.parametrize("fitted", [True, False])
+def test_cells_in_blocks(spark, monkeypatch, fitted):
+    """Blocks of far cells beside the parts of near ones and of those at the end of a line; excluded pairs lie in both."""
+    rng = random.Random(6)
+    points = [(c, rng.randrange(60_000), rng.uniform(0.5, 2)) for c in "aab" for _ in range(40)]
+    pairs = [(a, b) for a in points for b in points if a[0] == b[0] and a[1] < b[1]]
+    gone = [p for p in pairs if rng.random() < 0.02 or p[1][1] - p[0][1] < 500]
+    lines = [(-0.4, 1.0, 20_000.5), (-0.9, 5.0, None)]
+    want = {}
+    for pair in pairs:
+        (c, x, v), (_, y, w) = pair
+        if pair not in gone and x // 1000 < y // 1000:
+            slope, icept, _ = next(q for q in lines if q[2] is None or y - x <= q[2])
+            value = v * w * (math.exp(slope * math.log(y - x) + icept) if fitted else 1.0) * (math.exp(0.3) if c == "a" else 1)
+            want[c, x // 1000, y // 1000] = want.get((c, x // 1000, y // 1000), 0) + value
+    monkeypatch.setattr(P, "MANY", 0)
+    elements = spark.createDataFrame(points, "chr string, pos long, w double")
+    excluded = spark.createDataFrame([(a[0], a[1], b[1], a[2], b[2]) for a, b in gone], "chr string, pos1 long, pos2 long, w1 double, w2 double")
+    seen = spark.createDataFrame([(*k, n) for n, k in enumerate(want) if n % 3], "chr string, bin1 long, bin2 long, obs long")
+    table = spark.createDataFrame([(k, s, i, math.log(u) if u else None) for k, (s, i, u) in enumerate(lines)], "dbin int, slope double, intercept double, upto double")
+    means = spark.createDataFrame([("a", 0.3)], "chr string, mean double")
+    got = P.expected_cells(elements, 1000, table if fitted else None, means, None, 3, excluded, seen=seen).where("abs(expected) > 1e-12").collect()
+    rows = {(r.chr, r.bin1, r.bin2): (r.expected, r.obs) for r in got}
+    assert len(got) == len(rows) and rows.keys() == want.keys()
+    assert max(abs(rows[k][0] / v - 1) for k, v in want.items()) < 1e-7
+    assert all(rows[k][1] == (n if n % 3 else None) for n, k in enumerate(want))
